@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 #: Rows that an Arrow batch of documents or pages holds at most; kernels cut batches further by bytes.
 BATCH_ROWS = 512
 #: A side of a join is broadcast up to this many rows of at most ROW_BYTES each, otherwise both sides are shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 ROW_BYTES = 64
 _own = ""
 

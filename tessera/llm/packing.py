@@ -26,24 +26,39 @@ from tessera.llm.common import arrow, stored, texts_of
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker keeps; when full it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Signs that often follow a word; no apostrophe, with which the tokenizer begins units of its own.
+SIGNS = ".,!?;:$%&*#|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_tokenizers: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple[Tokenizer, np.ndarray, dict[str, bytes]]] = {}
+
+
+def _lower(text: str) -> str:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class Words:
     """Ids of a text, word by word.
 
-    The tokenizer's rules never reach across a space or a line feed, so its ids for a text are those
-    of the parts between them, and parts that came before are looked up.
+    The tokenizer's rules never reach across a space or a line feed, nor from a letter into the signs behind it, and it
+    ignores case (only Latin-1 is lowered here, where case has no exceptions). So its ids for a text are those
+    of such parts, and parts that came before are looked up. Words of letters alone are one unit each of the tokenizer;
+    many are encoded as one text, whose ids tell where a unit ends.
     """
 
     def __init__(self, path: str):
         if path not in _tokenizers:
             tokenizer = Tokenizer.from_file(path)
-            _tokenizers[path] = tokenizer, {"": b""}
-        self.tokenizer, self.known = _tokenizers[path]
+            vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+            _tokenizers[path] = tokenizer, ends, {"": b""}
+        self.tokenizer, self.ends, self.known = _tokenizers[path]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The texts' ids as little-endian unsigned 32-bit numbers."""
@@ -51,13 +66,41 @@ class Words:
         if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split = [_lower(x).replace("\n", " ").split(" ") for x in texts]
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            self._learn(new)
+        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        known, plain, other, joined = self.known, set(), set(), []
+        for w in new:
+            if w.isalpha():
+                plain.add(w)
+            elif (core := w.rstrip(SIGNS)).isalpha():
+                joined.append((w, core, w[len(core) :]))
+                if core not in known:
+                    plain.add(core)
+                if w[len(core) :] not in known:
+                    other.add(w[len(core) :])
+            else:
+                other.add(w)
+        words = list(plain)
+        parts = [words[k : k + 1000] for k in range(0, len(words), 1000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                other.update(part)
+                continue
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(part, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+        rest = list(other)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, core, tail in joined:
+            known[w] = known[core] + known[tail]
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -133,6 +176,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Needs a column ``length`` (1 to capacity). Equal rows stay apart. No rows give no sequences.
     """
     names = parts.columns
+    parts = stored(parts)  # range-sorting reads them twice
     ranked = stored(parts.repartitionByRange(F.col("length"), F.xxhash64(*names)).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("length").withColumn("_row", F.monotonically_increasing_id()))
     # At most one row for each partition and length in it, so partitions + capacity rows.
     runs = ranked.groupBy("_part", "length").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
