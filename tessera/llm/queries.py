@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, embeddings, html, lines, ngrams, packing, pii, quality, warc
+from tessera.llm import decontamination, embeddings, html, lines, ngrams, packing, pii, quality, suffixes, warc
 from tessera.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -54,7 +58,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_lines, op5_warc, op6_embeddings, op7_quality, op8_packing, op9_ngrams, op10_html)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_lines, op4_suffixes, op5_warc, op6_embeddings, op7_quality, op8_packing, op9_ngrams, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
