@@ -149,4 +149,4 @@ def _scan(left: DataFrame, found: dict, keep: bool) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from those of decontaminate()."""
     ids = F.array_join(F.array_sort("items"), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), "spans")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))

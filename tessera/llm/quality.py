@@ -178,3 +178,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
     """One row per document: ``doc_id, held_out, score, predicted``. Without any label all scores are 0 or near it."""
     stats = stored(measured(docs, id, text))
     return scored(stats, fit(stats, labels, id, label)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
+def with_score(docs: DataFrame, model: Model, *, text: str = "text", score: str = "score") -> DataFrame:
+    """The rows of ``docs`` and their score, in one pass over the texts; a column of that name is replaced."""
+    names = [c for c in docs.columns if c != score]
+    at, shared = names.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in texts_of(batch.column(at))]).reshape(-1, STATISTICS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value(x), pa.float64())], names=[*names, score])
+
+    return arrow(docs.select(*names), add, docs.select(*names).schema.add(score, "double"))
