@@ -11,6 +11,7 @@ documents. The result is that of sequential best-fit-decreasing.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -52,6 +53,7 @@ class Words:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library's pool spin
         if path not in _tokenizers:
             tokenizer = Tokenizer.from_file(path)
             vocabulary = tokenizer.get_vocab(with_added_tokens=False)
