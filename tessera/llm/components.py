@@ -72,9 +72,9 @@ def _compressed(hooks: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of the edges (two columns of one type, any direction); a component is its smallest node.
 
-    Each task first replaces its edges by stars. Then every node hooks to its smallest neighbour, hooks are shortened to
-    roots, and edges between different roots go on, of which each round leaves fewer. No edge leaves the executors.
-    Null ends are no edges.
+    Every node hooks to its smallest neighbour, hooks are shortened to roots, and edges between different roots go on, which
+    each task replaces by stars; each round leaves fewer. No edge leaves the executors. Null ends are no edges. Edges
+    come best as the forests of the tasks that found them.
     """
     kind = edges.schema[0].dataType.simpleString()
     schema = f"u {kind}, v {kind}"
@@ -92,11 +92,11 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
-    """Candidate edges (u, v) from rows (key, node, n, at): nodes that share a key, as forests.
+    """Candidate edges (u, v) from rows (key, node): nodes that share a key, as forests.
 
-    n is a node's set size and ``at`` the key's place in the set's order. With num / den over 0, small buckets are
-    filtered pair by pair by length and place; large ones link neighbours by size whose lengths agree, which connects at
-    least what all their pairs would.
+    With num / den over 0 there are two more columns, n, a node's set size, and ``at``, the key's place in the set's order. Small
+    buckets are then filtered pair by pair by length and place; large ones link neighbours by size whose lengths
+    agree, which connects at least what all their pairs would.
     """
     kind = rows.schema["node"].dataType.simpleString()
 
@@ -113,20 +113,20 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
                         forest.join(node[a], node[b])
             else:
                 for k in range(len(node) - 1):
-                    if node[k] != node[k + 1] and n[k] * den >= num * n[k + 1]:
+                    if node[k] != node[k + 1] and (not num or n[k] * den >= num * n[k + 1]):
                         forest.join(node[k], node[k + 1])
 
-        def full(key, node, n, at) -> None:
+        def full(key, node, n=None, at=None) -> None:
             edge = np.flatnonzero(np.diff(key)) + 1
             first, last = np.r_[0, edge], np.r_[edge, len(key)]
             for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
-                group(node[a:b].tolist() if node.dtype != object else list(node[a:b]), n[a:b], at[a:b])
+                group(node[a:b].tolist(), n[a:b] if num else None, at[a:b] if num else None)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             type_ = batch.column(1).type
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1], side="left"))  # the last key may go on
@@ -140,7 +140,8 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             full(*held)
         yield from stars(forest, type_)
 
-    return arrow(rows.select("key", "node", "n", "at").repartition("key").sortWithinPartitions("key", "n"), pairs, f"u {kind}, v {kind}", 50_000)
+    names = ("key", "node", "n", "at") if num else ("key", "node")
+    return arrow(rows.select(*names).repartition("key").sortWithinPartitions(*names[:3:2]), pairs, f"u {kind}, v {kind}", 50_000)
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
