@@ -259,10 +259,10 @@ def _join(docs: DataFrame, finds: DataFrame, entries: int, how: str) -> DataFram
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc, key, runs``: window starts that begin a string found elsewhere. docs: doc, key, text."""
     found = stored(_find(docs, length, gram))
-    classes = found.groupBy("gram", "whole").agg(F.count("*").alias("n"))
-    again = classes.groupBy("gram").agg(F.sum("n").alias("pieces")).where("pieces > 1")
-    settled = stored(classes.join(again, "gram").select("gram", "whole", "n", "pieces"))
-    hits = stored(found.join(settled, ["gram", "whole"]).select("doc", "key", "first", "last", "anchor", "gram", "whole", (F.col("n") > 1).alias("all")))
+    again = stored(found.groupBy("gram").agg(F.count("*").alias("pieces")).where("pieces > 1").select("gram"))
+    near = stored(found.join(again, "gram"))
+    settled = stored(near.groupBy("gram", "whole").agg(F.count("*").alias("n")))
+    hits = stored(near.join(settled, ["gram", "whole"]).select("doc", "key", "first", "last", "anchor", "gram", "whole", (F.col("n") > 1).alias("all")))
     # Where different pieces share an anchor, those that are alone meet one piece of each settled class.
     mixed = settled.groupBy("gram").agg(F.count("*").alias("different"), F.max("n").alias("most")).where("different > 1 and most > 1").select("gram")
     shown = hits.where("all").join(mixed, "gram", "left_semi").groupBy("gram", "whole").agg(F.min(F.struct("doc", "key", "first", "last", "anchor")).alias("p")).select("gram", "p.*")
@@ -275,7 +275,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     if not large.isEmpty():
         runs = runs.unionByName(_by_window(parts.join(large, "gram", "left_semi"), length))
     runs = hits.where("all").select("doc", "key", "first", "last").unionByName(runs)
-    return runs.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    each = runs.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_merged(sorted((r["first"], r["last"]) for r in rows)) for rows in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"first": a, "last": b} for a, b in r] for r in out], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["doc", "key", "runs"])
+
+    return arrow(each, merge, "doc long, key long, runs array<struct<first: int, last: int>>")
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in runs:
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
