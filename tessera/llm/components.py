@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow, join_small, stored
 
 #: A group that one task compares: members, and bytes of their texts. Larger groups are compared block by block.
-GROUP_ROWS, GROUP_BYTES = 2000, 16 << 20
+GROUP_ROWS, GROUP_BYTES = 2000, 8 << 20
 #: Pairs of groups up to this size are compared one by one, behind a suffix filter.
 FEW = 8
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
@@ -78,7 +78,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema[0].dataType.simpleString()
     schema = f"u {kind}, v {kind}"
-    left = stored(arrow(edges.toDF("u", "v").where("u is not null and v is not null"), forest_of, schema, 50_000))
+    left = edges.toDF("u", "v").where("u is not null and v is not null and u <> v")
+    left = stored(left.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     labels = None
     while not left.isEmpty():
         hooks = _compressed(stored(left.groupBy("u").agg(F.min("v").alias("v"))))

@@ -21,7 +21,7 @@ from tessera.llm.hashing import between, lowered, mix, prefix
 
 #: Cells that n-grams are counted in, sent and summed in slices.
 CELLS, SLICES = 1 << 20, 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = np.random.RandomState(99).randint(0, 1 << 62, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)

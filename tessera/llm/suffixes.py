@@ -23,7 +23,7 @@ from tessera.llm.hashing import mix, powers, prefix
 
 LENGTH, GRAM = 400, 100
 #: Bytes hashed at once; bytes and pieces that a task sorts at once. An anchor with more pieces goes window by window instead.
-CHUNK, SORT_BYTES, SORT_PIECES = 1 << 20, 4 << 20, 20_000
+CHUNK, SORT_BYTES, SORT_PIECES = 1 << 19, 1 << 20, 20_000
 #: Entries up to which the finds are broadcast to the documents.
 FEW = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
