@@ -71,9 +71,13 @@ def _sign(name: str, attrs: str) -> str:
     return name + mark
 
 
-def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """Path of signs and text of each run of text between block boundaries, in order; references decoded, white space as it is."""
+def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str, tuple[int, ...]]]:
+    """Path of signs, text, and path of elements by number of each run of text between block boundaries, in order.
+
+    References are decoded, white space is as it was.
+    """
     path: list[str] = []
+    numbers: list[int] = []
     held: list[str] = []
     at = 0
     aside = 0  # inline elements beside the article, as a notice in a span
@@ -96,7 +100,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
             continue
         aside = 0
         if held:
-            yield tuple(path), unescape("".join(held))
+            yield tuple(path), unescape("".join(held)), tuple(numbers)
             held = []
         if name in VOID:
             continue
@@ -104,39 +108,40 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
             if name in (bare := [p.rstrip("!*") for p in path]):
                 k = len(bare) - 1 - bare[::-1].index(name)
                 if name in SCOPE or not SCOPE.intersection(bare[k + 1 :]):
-                    del path[k:]
+                    del path[k:], numbers[k:]
             continue
         while path and (path[-1] in CLOSES.get(name, ()) or (path[-1] == "p" and name in ENDS_P)):
-            path.pop()
+            path.pop(), numbers.pop()
         attrs = m.group("attrs")
         if not attrs.rstrip().endswith("/") or name not in ("svg", "path"):
             sign = _sign(name, attrs)
             if name == "header" and not any(p in ("article", "main") for p in path):
                 sign = "header!"
             path.append(sign)
+            numbers.append(at)
     if html[at:] and not aside:
         held.append(html[at:])
     if held:
-        yield tuple(path), unescape("".join(held))
+        yield tuple(path), unescape("".join(held)), tuple(numbers)
 
 
 def tree(html: str) -> list:
     """The page as nested [sign, how often, children]; a text slot is ["#", how often, []]. Equal neighbours are one, repeated."""
     root: list = ["", 1, []]
     stack = [root]
-    names: list[str] = []
-    for path, text in blocks(html):
+    names: list[int] = []
+    for path, text, numbers in blocks(html):
         if not text.strip():
             continue
         same = 0
-        while same < min(len(path), len(names)) and path[same] == names[same]:
+        while same < min(len(path), len(names)) and numbers[same] == names[same]:
             same += 1
         del stack[same + 1 :], names[same:]
-        for sign in path[same:]:
+        for sign, number in zip(path[same:], numbers[same:], strict=True):
             node = [sign, 1, []]
             stack[-1][2].append(node)
             stack.append(node)
-            names.append(sign)
+            names.append(number)
         stack[-1][2].append(["#", 1, []])
     return folded(root)
 
@@ -235,7 +240,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for html in texts_of(batch.column(1)):
                 out.append(json.dumps(tree(html)))
                 mine: dict[str, list] = {}
-                for path, text in blocks(html):
+                for path, text, _ in blocks(html):
                     if text := " ".join(text.split()):
                         mine.setdefault("/".join(path), []).append(text)
                 texts.append([{"path": p, "hash": xxhash.xxh64_intdigest("\n".join(t)) >> 1, "chars": sum(map(len, t))} for p, t in mine.items()])
@@ -305,7 +310,7 @@ def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
             out = []
             for page, paths in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 kept = set(paths or ())
-                out.append(" ".join(w for p, t in blocks(page) if "/".join(p) in kept for w in t.split()))
+                out.append(" ".join(w for p, t, _ in blocks(page) if "/".join(p) in kept for w in t.split()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return arrow(both.select("page_id", "url", "html", "paths"), read, f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
