@@ -26,8 +26,8 @@ from tessera.llm.common import arrow, stored, texts_of
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker keeps; when full it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, and their length: longer ones seldom come again. When full it starts anew.
+CACHE_WORDS, CACHE_LETTERS = 600_000, 11
 #: Signs that often follow a word; no apostrophe, with which the tokenizer begins units of its own.
 SIGNS = ".,!?;:$%&*#|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,7 +73,11 @@ class Words:
         new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         if new:
             self._learn(new)
-        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+        out = [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+        for w in new:
+            if len(w) > CACHE_LETTERS:
+                del known[w]
+        return out
 
     def _learn(self, new: set[str]) -> None:
         known, plain, other, joined = self.known, set(), set(), []
