@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow, chunks, stored, strings
+from tessera.llm.common import arrow, chunks, join_small, stored, strings
 from tessera.llm.hashing import mix, powers, prefix
 
 LENGTH, GRAM = 400, 100
@@ -264,8 +264,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     settled = stored(near.groupBy("gram", "whole").agg(F.count("*").alias("n")))
     hits = stored(near.join(settled, ["gram", "whole"]).select("doc", "key", "first", "last", "anchor", "gram", "whole", (F.col("n") > 1).alias("all")))
     # Where different pieces share an anchor, those that are alone meet one piece of each settled class.
-    mixed = settled.groupBy("gram").agg(F.count("*").alias("different"), F.max("n").alias("most")).where("different > 1 and most > 1").select("gram")
-    shown = hits.where("all").join(mixed, "gram", "left_semi").groupBy("gram", "whole").agg(F.min(F.struct("doc", "key", "first", "last", "anchor")).alias("p")).select("gram", "p.*")
+    mixed = stored(settled.groupBy("gram").agg(F.count("*").alias("different"), F.max("n").alias("most")).where("different > 1 and most > 1").select("gram"))
+    shown = join_small(hits.where("all"), mixed, "gram", "left_semi").groupBy("gram", "whole").agg(F.min(F.struct("doc", "key", "first", "last", "anchor")).alias("p")).select("gram", "p.*")
     open_ = hits.where("not all").select("gram", "doc", "key", "first", "last", "anchor").unionByName(shown)
     listed = stored(open_.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "first", "last", "anchor")).alias("at")))
     entries = listed.agg(F.sum(F.size("at"))).first()[0] or 0
