@@ -46,7 +46,7 @@ def arrow(df: DataFrame, function: Callable, schema: str | StructType, rows: int
     return df.mapInArrow(function, schema)
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", row_bytes: int = ROW_BYTES) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", row_bytes: int = ROW_BYTES) -> DataFrame:
     """``big`` joined to ``small``, a stored table: broadcast behind a check of its size, else by a shuffle of both."""
     if small.count() * max(1, row_bytes // ROW_BYTES) <= BROADCAST_ROWS:
         small = F.broadcast(small)
