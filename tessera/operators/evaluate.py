@@ -117,3 +117,11 @@ def accuracy_proxy(got: Column, expected: Column) -> Column:
 
 def grid_frame(spark: SparkSession, grid: list[float] = GRID) -> DataFrame:
     return spark.createDataFrame([(float(t),) for t in grid], "threshold double")
+
+
+def search_test_cases(rows: DataFrame, top: int = 20) -> DataFrame:
+    """Queries with what they should find, from the ``top`` commonest addresses (street, number, postcode, city): whole and in part."""
+    keys = ["street", "number", "postcode", "city"]
+    common = rows.where("street is not null and city is not null").groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *(F.asc_nulls_last(k) for k in keys)).limit(top)
+    kinds = F.array(F.struct(F.lit("exact").alias("category"), F.lit("easy").alias("difficulty"), F.concat_ws(", ", "street", "number", "city").alias("query")), F.struct(F.lit("partial").alias("category"), F.lit("medium").alias("difficulty"), F.concat_ws(" ", "street", "city").alias("query")))
+    return common.select(F.explode(kinds).alias("c"), "street", "city").select("c.*", F.col("street").alias("expected_street"), F.col("city").alias("expected_city"))

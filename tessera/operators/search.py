@@ -67,10 +67,9 @@ def top_k(scores: DataFrame, key: str, k: int, least: float = 0.0) -> DataFrame:
     return scores.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def phrase_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int = 0, stop: list[str] = STOP_WORDS) -> DataFrame:
-    """``query_id, key, field``: all terms of the query at their distances, each up to ``slop`` places off."""
-    terms = query_terms(queries, stop)
-    n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
+def _phrases(terms: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int) -> DataFrame:
+    """terms: query_id, at, term; several terms at one place stand for each other."""
+    n = terms.groupBy("query_id").agg(F.count_distinct("at").alias("n"))
     starts = index.where(F.col("field").isin(*fields)).join(F.broadcast(terms), "term").select("query_id", key, "field", "at", F.explode("positions").alias("p"))
     shifted = starts.select("query_id", key, "field", "at", (F.col("p") - F.col("at")).alias("base"))
     if slop:
@@ -79,6 +78,11 @@ def phrase_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str
     return whole.where("met = n").select("query_id", key, "field").distinct()
 
 
+def phrase_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int = 0, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """``query_id, key, field``: all terms of the query at their distances, each up to ``slop`` places off."""
+    return _phrases(query_terms(queries, stop), index, key, fields, slop)
+
+
 def phrase_clause(queries: DataFrame, index: DataFrame, key: str, boosts: dict[str, float], boost: float = 5.0, **options) -> DataFrame:
     """Best field's score of documents that hold the phrase."""
     scores = bm25(queries, index, key, boosts, **options)
@@ -139,11 +143,11 @@ def prefix_terms(queries: DataFrame, index: DataFrame, stop: list[str] = STOP_WO
 
 def phrase_prefix_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int = 2, stop: list[str] = STOP_WORDS) -> DataFrame:
     """Phrases whose last term may be the beginning of a word, terms up to ``slop`` places off."""
-    ends = prefix_terms(queries, index, stop)
-    words = queries.select("query_id", analyze(F.col("query"), stop).alias("w"))
-    each = words.join(ends, "query_id").select(F.concat_ws("\u0001", F.col("query_id").cast("string"), "term").alias("query_id"), F.array_join(F.concat(F.slice("w", F.lit(1), F.size("w") - 1), F.array("term")), " ").alias("query"))
-    hits = phrase_hits(each, index, key, fields, slop, stop)
-    return hits.select(F.split("query_id", "\u0001")[0].cast(queries.schema["query_id"].dataType).alias("query_id"), key).distinct()
+    terms = query_terms(queries, stop)
+    last = terms.groupBy("query_id").agg(F.max("at").alias("last"))
+    ends = prefix_terms(queries, index, stop).join(last, "query_id").select("query_id", F.col("last").alias("at"), "term")
+    fixed = terms.join(last, "query_id").where("at < last").select("query_id", "at", "term")
+    return _phrases(fixed.unionByName(ends), index, key, fields, slop).select("query_id", key).distinct()
 
 
 def naive(docs: DataFrame, key: str, columns: list[str], query: str, limit: int = 50) -> DataFrame:

@@ -49,7 +49,7 @@ def train_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tuned_logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = _features(spark, sf_dir)
-    _, found = learning.cross_validate(df.where("train"), columns, "logistic_regression", n=4, folds=3)
+    _, found = learning.cross_validate(df.where("train"), columns, "logistic_regression", n=3, folds=3)
     return spark.createDataFrame([(str(sorted(s.items())), float(f)) for s, f in found], "setting string, f1_score double")
 
 

@@ -12,6 +12,7 @@ from tessera.operators import features as X
 from tessera.operators import pairs as G
 from tessera.operators import statistics as V
 from tessera.operators import tfidf
+from tessera.operators.evaluate import search_test_cases
 from tessera.plans.base import ADDRESS, EL, PAIRS, elements, jaccard, levenshtein, name_pairs, phonetic, query, table, tokens
 
 _TOK = f"tk as (select brand, a, b, {tokens('a')} as x, {tokens('b')} as y from pr)"
@@ -260,6 +261,53 @@ def mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.mean_interval(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
 
 
+@query("""select l_linestatus, l_returnflag, count(*) as runs, round(avg(l_quantity), 6) as mean, median(l_quantity) as median, round(stddev_samp(l_quantity), 6) as std, min(l_quantity) as min, max(l_quantity) as max from lineitem group by 1, 2""")
+def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by index and complexity, as it were."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_returnflag")
+    return rows.agg(F.count("*").alias("runs"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.expr("percentile(l_quantity, 0.5)").alias("median"), F.round(F.stddev_samp("l_quantity"), 6).alias("std"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max"))
+
+
+@query("select l_suppkey % 10 as test, round(avg(l_quantity) filter (where l_returnflag = 'A'), 6) as a, round(avg(l_quantity) filter (where l_returnflag = 'N'), 6) as n, round(avg(l_quantity) filter (where l_returnflag = 'R'), 6) as r from lineitem group by 1")
+def method_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("test")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("l_quantity"), 6))
+    return rows.select("test", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+
+
+@query("with m as (select l_suppkey % 20 as test, round(avg(l_quantity), 6) as mean, round(stddev_samp(l_quantity), 6) as std from lineitem group by 1) select (select test from m order by mean, test limit 1) as fastest, (select test from m order by mean desc, test limit 1) as slowest, (select test from m order by std, test limit 1) as steadiest")
+def best_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("test")).agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("std"))
+    return each.agg(F.min_by("test", F.struct("mean", "test")).alias("fastest"), F.max_by("test", F.struct("mean", -F.col("test"))).alias("slowest"), F.min_by("test", F.struct("std", "test")).alias("steadiest"))
+
+
+@query("with p as (select p_size as got, p_partkey % 60 as expected from part) select got, expected, count(*) as n, round(case when expected > 0 then least(1.0, cast(got as double) / expected) when got = 0 then 1.0 else 0.0 end, 6) as accuracy from p group by 1, 2")
+def accuracy_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("got"), (F.col("p_partkey") % 60).alias("expected"))
+    return rows.groupBy("got", "expected").agg(F.count("*").alias("n")).withColumn("accuracy", F.round(E.accuracy_proxy(F.col("got"), F.col("expected")), 6))
+
+
+_EFFECT = "case when abs(d) > 0.8 then 'large' when abs(d) > 0.5 then 'medium' when abs(d) > 0.2 then 'small' else 'negligible' end"
+
+
+@query(f"with p as (select (p_size - 25) / 20.0 as d from part) select {_EFFECT} as effect, count(*) as n from p group by 1")
+def effect_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(V.effect_band((F.col("p_size") - 25) / 20).alias("effect")).agg(F.count("*").alias("n"))
+
+
+@query("select event_type, round(avg(value), 6) as mean_latency, count(*) as queries, round(avg(case when user_id % 3 = 0 then 1.0 else 0.0 end), 6) as top_1 from events where value < 200 group by 1")
+def search_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successful queries by category: events stand for queries."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("latency"), (F.col("value") < 200).alias("success"), (F.col("user_id") % 3 == 0).alias("top_1"))
+    return E.breakdown(rows, "event_type").select("event_type", F.round("mean_latency", 6).alias("mean_latency"), "queries", F.round("top_1", 6).alias("top_1"))
+
+
+@query(f"""with {EL}, a as (select street, number, postcode, city, count(*) as n from el where street is not null and city is not null group by 1, 2, 3, 4), t as (select * from a order by n desc, street, number, postcode, city limit 20)
+select 'exact' as category, 'easy' as difficulty, concat_ws(', ', street, number, city) as query, street as expected_street, city as expected_city from t union all select 'partial', 'medium', concat_ws(' ', street, city), street, city from t""")
+def search_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test cases made of the 20 commonest addresses."""
+    return search_test_cases(elements(spark, sf_dir), 20)
+
+
 # --- pairs
 
 
