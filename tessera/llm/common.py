@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,7 +44,19 @@ def stored(df: DataFrame) -> DataFrame:
 def arrow(df: DataFrame, function: Callable, schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """``df.mapInArrow(function, schema)`` with batches of at most ``rows`` rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers are kept for later tasks, and so is what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", row_bytes: int = ROW_BYTES) -> DataFrame:

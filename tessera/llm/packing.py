@@ -18,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import arrow, stored, texts_of
+from tessera.llm.common import arrow, chunks, stored, texts_of
 
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker keeps, and their length: longer ones seldom come again. When full it starts anew.
-CACHE_WORDS, CACHE_LETTERS = 600_000, 11
+CACHE_WORDS, CACHE_LETTERS = 250_000, 9
+#: Code points of text that are split at once.
+CHUNK = 4 << 20
 #: Signs that often follow a word; no apostrophe, with which the tokenizer begins units of its own.
 SIGNS = ".,!?;:$%&*#|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -64,20 +67,32 @@ class Words:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The texts' ids as little-endian unsigned 32-bit numbers."""
+        offsets = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        return [x for a, b in chunks(offsets, CHUNK) for x in self._ids(texts[a:b])]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Each different word is looked up once; the ids are then gathered for all its places."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
-        split = [_lower(x).replace("\n", " ").split(" ") for x in texts]
-        found = [list(map(known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        if new:
+        split = pc.split_pattern(pa.array([_lower(x).replace("\n", " ") for x in texts], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(known.get, words))
+        if None in found:
+            new = {w for w, x in zip(words, found, strict=True) if x is None}
             self._learn(new)
-        out = [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, found, strict=True)]
-        for w in new:
-            if len(w) > CACHE_LETTERS:
-                del known[w]
-        return out
+            found = [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            for w in new:
+                if len(w) > CACHE_LETTERS:
+                    del known[w]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, many = np.cumsum(size) - size, size[index]
+        ends = np.r_[0, np.cumsum(many)]
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[index] - ends[:-1], many) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _learn(self, new: set[str]) -> None:
         known, plain, other, joined = self.known, set(), set(), []
@@ -130,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
 
-    return arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), cut, PIECES, rows=256)
+    return arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), cut, PIECES, rows=1024)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
