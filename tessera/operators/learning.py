@@ -18,7 +18,6 @@ from tessera.operators.evaluate import metrics
 from tessera.operators.features import families
 
 SEED = 42
-F1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
 #: Values a tuning run draws from.
 GRIDS = {
     "logistic_regression": {"regParam": [0.0, 1e-4, 1e-3, 1e-2, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
@@ -28,6 +27,11 @@ GRIDS = {
 }
 
 
+def f1() -> MulticlassClassificationEvaluator:
+    """Of the matches; made when a session is there."""
+    return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
+
+
 def classifiers() -> dict:
     """support_vectors is linear: MLlib has no kernel machine."""
     return {
@@ -74,7 +78,7 @@ def cross_validate(df: DataFrame, columns: list[str], name: str, n: int = 20, fo
     """The best of n drawn settings by F1 over the folds: model and mean F1 of each setting."""
     model = classifiers()[name]
     grid = [dict((model.getParam(k), v) for k, v in s.items()) for s in draws(name, n)] or ParamGridBuilder().build()
-    fitted = CrossValidator(estimator=pipeline(model, columns), estimatorParamMaps=grid, evaluator=F1, numFolds=folds, seed=SEED, parallelism=parallelism).fit(df)
+    fitted = CrossValidator(estimator=pipeline(model, columns), estimatorParamMaps=grid, evaluator=f1(), numFolds=folds, seed=SEED, parallelism=parallelism).fit(df)
     return fitted.bestModel, list(zip(draws(name, n), fitted.avgMetrics, strict=True))
 
 
