@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -45,7 +45,8 @@ ARTICLE_WORDS = frozenset("article content post entry story main body".split())
 SALTS = 16
 #: Pages from which a text that is the same on every page of a host counts as its boilerplate.
 SAME_PAGES = 3
-SKELETON = "host string, skeleton string, texts array<struct<path: string, hash: long, chars: long>>"
+SKELETON = "host string, shape string, skeleton string, texts array<struct<path: string, hash: long, chars: long>>"
+READ = "host string, shape string, slots array<struct<path: string, text: string, own: boolean>>"
 
 
 def host_of(url: str | None) -> str:
@@ -126,11 +127,15 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str, tuple[int, ...]]]:
 
 
 def tree(html: str) -> list:
-    """The page as nested [sign, how often, children]; a text slot is ["#", how often, []]. Equal neighbours are one, repeated."""
+    return tree_of(blocks(html))
+
+
+def tree_of(found: Iterable[tuple[tuple[str, ...], str, tuple[int, ...]]]) -> list:
+    """The page of these blocks as nested [sign, how often, children]; a text slot is ["#", how often, []]. Equal neighbours are one, repeated."""
     root: list = ["", 1, []]
     stack = [root]
     names: list[int] = []
-    for path, text, numbers in blocks(html):
+    for path, text, numbers in found:
         if not text.strip():
             continue
         same = 0
@@ -216,12 +221,38 @@ def slots(node: list, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
             yield from slots(child, (*path, child[0]))
 
 
-def article_paths(wrapper: list, chars: dict[str, int], same: set[str]) -> list[str]:
-    """The slots of the article. chars: of each path's text over all pages; same: paths with one text on every page."""
-    kept = [p for p in dict.fromkeys(slots(wrapper)) if not any(s.endswith("!") for s in p)]
+def _beside(path: tuple[str, ...]) -> bool:
+    return any(s.endswith("!") for s in path)
+
+
+def _rooted(paths: Iterable[tuple[str, ...]]) -> tuple[str, list[tuple[str, ...]]]:
+    """The element of the standard that holds the article, and the paths in it."""
+    paths = [p for p in dict.fromkeys(paths) if not _beside(p)]
     for root in ("article", "main"):
-        if inside := [p for p in kept if root in p]:
-            return ["/".join(p) for p in inside]
+        if inside := [p for p in paths if root in p]:
+            return root, inside
+    return "", paths
+
+
+def shape_of(paths: Iterable[tuple[str, ...]]) -> str:
+    """What pages of one template share: the element that holds the article, or else the places that class words mark as such."""
+    root, kept = _rooted(paths)
+    if root:
+        return root
+    return " ".join(sorted({"/".join(p[: next(k for k, s in enumerate(p) if s.endswith("*")) + 1]) for p in kept if any(s.endswith("*") for s in p)}))
+
+
+def own_paths(paths: Iterable[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The slots of the article as a page alone tells them."""
+    root, kept = _rooted(paths)
+    return set(kept if root else [p for p in kept if any(s.endswith("*") for s in p)] or kept)
+
+
+def article_paths(wrapper: list, chars: dict[str, int], same: set[str]) -> list[str]:
+    """The slots of the article in a wrapper of pages of one shape. chars: of each path's text over all pages; same: paths with one text on every page."""
+    root, kept = _rooted(slots(wrapper))
+    if root:
+        return ["/".join(p) for p in kept]
     kept = [p for p in kept if "/".join(p) not in same] or kept
     marked = [p for p in kept if any(s.endswith("*") for s in p)]
     if sum(chars.get("/".join(p), 0) for p in marked) * 2 >= sum(chars.get("/".join(p), 0) for p in kept) > 0:
@@ -230,41 +261,43 @@ def article_paths(wrapper: list, chars: dict[str, int], same: set[str]) -> list[
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper, paths``: a row per host. pages: columns host and html, both without nulls."""
+    """``host, shape, wrapper, paths``: a row per host and shape of its pages. pages: columns host and html, both without nulls."""
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            out, texts = [], []
+            shapes, out, texts = [], [], []
             for html in texts_of(batch.column(1)):
-                out.append(json.dumps(tree(html)))
+                found = [b for b in blocks(html) if b[1].strip()]
+                shapes.append(shape_of(p for p, _, _ in found))
+                out.append(json.dumps(tree_of(found)))
                 mine: dict[str, list] = {}
-                for path, text, _ in blocks(html):
+                for path, text, _ in found:
                     if text := " ".join(text.split()):
                         mine.setdefault("/".join(path), []).append(text)
                 texts.append([{"path": p, "hash": xxhash.xxh64_intdigest("\n".join(t)) >> 1, "chars": sum(map(len, t))} for p, t in mine.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(texts, pa.list_(pa.struct([("path", pa.string()), ("hash", pa.int64()), ("chars", pa.int64())])))], names=["host", "skeleton", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(out, pa.string()), pa.array(texts, pa.list_(pa.struct([("path", pa.string()), ("hash", pa.int64()), ("chars", pa.int64())])))], names=["host", "shape", "skeleton", "texts"])
 
     found = stored(arrow(pages.select("host", "html"), skeletons, SKELETON))
-    shapes = found.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
-    parts = _fold(shapes.select("host", "skeleton", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt")), ["host", "salt"])
-    whole = _fold(parts, ["host"])
-    seen = found.select("host", F.explode("texts").alias("t")).groupBy("host", "t.path").agg(F.sum("t.chars").alias("chars"), F.count("*").alias("n"), (F.min("t.hash") == F.max("t.hash")).alias("one"))
-    stats = seen.groupBy("host").agg(F.to_json(F.collect_list(F.struct("path", "chars", "n", "one"))).alias("stats"))
-    pages_of = found.groupBy("host").agg(F.count("*").alias("pages"))
+    shapes = found.groupBy("host", "shape", "skeleton").agg(F.count("*").alias("n"))
+    parts = _fold(shapes.select("host", "shape", "skeleton", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt")), ["host", "shape", "salt"])
+    whole = _fold(parts, ["host", "shape"])
+    seen = found.select("host", "shape", F.explode("texts").alias("t")).groupBy("host", "shape", "t.path").agg(F.sum("t.chars").alias("chars"), F.count("*").alias("n"), (F.min("t.hash") == F.max("t.hash")).alias("one"))
+    stats = seen.groupBy("host", "shape").agg(F.to_json(F.collect_list(F.struct("path", "chars", "n", "one"))).alias("stats"))
+    pages_of = found.groupBy("host", "shape").agg(F.count("*").alias("pages"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shown, paths = [], []
-            for w, st, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for w, st, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 rows = json.loads(st or "[]")
                 same = {r["path"] for r in rows if r["one"] and r["n"] == n >= SAME_PAGES}
                 shown.append(expression(json.loads(w)))
                 paths.append(article_paths(json.loads(w), {r["path"]: r["chars"] for r in rows}, same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string()), pa.array(paths, pa.list_(pa.string()))], names=["host", "wrapper", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shown, pa.string()), pa.array(paths, pa.list_(pa.string()))], names=["host", "shape", "wrapper", "paths"])
 
-    return arrow(whole.join(stats, "host", "left").join(pages_of, "host").select("host", "skeleton", "stats", "pages"), decide, "host string, wrapper string, paths array<string>")
+    return arrow(whole.join(stats, ["host", "shape"], "left").join(pages_of, ["host", "shape"]).select("host", "shape", "skeleton", "stats", "pages"), decide, "host string, shape string, wrapper string, paths array<string>")
 
 
 def _fold(shapes: DataFrame, keys: list[str]) -> DataFrame:
@@ -274,7 +307,7 @@ def _fold(shapes: DataFrame, keys: list[str]) -> DataFrame:
         now, held = None, None
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([json.dumps(held)], pa.string())], names=["host", "skeleton"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.string()), pa.array([json.dumps(held)], pa.string())], names=["host", "shape", "skeleton"])
 
         for batch in batches:
             for key, shape in zip(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True), batch.column(len(keys)).to_pylist(), strict=True):
@@ -287,30 +320,37 @@ def _fold(shapes: DataFrame, keys: list[str]) -> DataFrame:
         if held is not None:
             yield out()
 
-    return arrow(shapes.repartition(*keys).sortWithinPartitions(*keys, "skeleton").select(*keys, "skeleton"), fold, "host string, skeleton string")
+    return arrow(shapes.repartition(*keys).sortWithinPartitions(*keys, "skeleton").select(*keys, "skeleton"), fold, "host string, shape string, skeleton string")
 
 
 def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
-    A null page is empty; pages without a host in their url share one wrapper. A page with nothing in its host's article slots has no text.
+    A null page is empty; pages without a host in their url share wrappers. Pages of a host with other shapes have another wrapper; a page with
+    nothing in its wrapper's article slots is read by its own.
     """
     named = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     # as host_of()
     named = named.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     known = stored(wrappers(named))
-    few = known.count() <= BROADCAST_ROWS // 64
-    if few:
-        both = named.join(F.broadcast(known.select("host", "paths")), "host", "left")
-    else:  # the pages of a host are spread over as many copies of its wrapper
-        both = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(known.select("host", "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")), ["host", "salt"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, paths in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                kept = set(paths or ())
-                out.append(" ".join(w for p, t, _ in blocks(page) if "/".join(p) in kept for w in t.split()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return arrow(both.select("page_id", "url", "html", "paths"), read, f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+            shapes, out = [], []
+            for page in texts_of(batch.column(3)):
+                found = [b for b in blocks(page) if b[1].strip()]
+                shapes.append(shape_of(p for p, _, _ in found))
+                own = own_paths(p for p, _, _ in found)
+                out.append([{"path": "/".join(p), "text": " ".join(t.split()), "own": p in own} for p, t, _ in found if not _beside(p)])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("own", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(shapes, pa.string()), pa.array(out, kind)], names=["page_id", "url", "host", "shape", "slots"])
+
+    each = arrow(named.select("page_id", "url", "host", "html"), read, f"page_id {named.schema['page_id'].dataType.simpleString()}, url string, {READ}")
+    if known.count() <= BROADCAST_ROWS // 64:
+        both = each.join(F.broadcast(known.select("host", "shape", "paths")), ["host", "shape"], "left")
+    else:  # the pages of a host are spread over as many copies of its wrappers
+        both = each.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(known.select("host", "shape", "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")), ["host", "shape", "salt"], "left")
+    texts = lambda test: F.array_join(F.transform(F.filter("slots", test), lambda s: s["text"]), " ")
+    both = both.withColumn("text", texts(lambda s: F.array_contains("paths", s["path"])))
+    both = both.withColumn("text", F.when(F.coalesce("text", F.lit("")) == "", texts(lambda s: s["own"])).otherwise(F.col("text")))
+    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

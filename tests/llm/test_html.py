@@ -28,6 +28,18 @@ def test_without_an_article(spark):
     assert [r.text for r in H.extract(pages(spark, rows)).orderBy("page_id").collect()][1] == "Title 1 Text 1 of the story goes on."
 
 
+def test_a_host_of_several_templates(spark):
+    plain = '<body><div class="menu">Home</div><div><h1>Title {n}</h1><section><p>Plain text {n} goes on.</p></section></div></body>'
+    marked = '<body><div class="menu">Home</div><div class="story"><p>MANY</p></div><div class="x"><p>Beside {n}.</p></div></body>'.replace("MANY", "Marked text {n} " * 9)
+    main = "<body><nav>Menu</nav><main><p>Main {n}</p></main></body>"
+    for url in ("http://h.example/a", None):
+        rows = [(k, url, x.format(n=k)) for k, x in enumerate([PAGE, plain, main, plain, marked, plain, marked])]
+        found = [r.text for r in H.extract(pages(spark, rows)).orderBy("page_id").collect()]
+        assert found[0] == "Headér 0 One bold <tag> x y z Two 0 li 1 li 2" and found[2] == "Main 2"
+        assert [found[k] for k in (1, 3, 5)] == [f"Title {k} Plain text {k} goes on." for k in (1, 3, 5)]
+        assert [found[k] for k in (4, 6)] == [("Marked text %d " % k * 9).strip() for k in (4, 6)]
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "u", None), (2, None, ""), (3, "http://a.b", "plain text, 1 < 2 & more"), (4, "http://a.b", "<p>unclosed <b>bold<p>next"), (5, "http://a.c", "<<<>>> &am &#x41; <p"),
