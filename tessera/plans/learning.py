@@ -26,6 +26,12 @@ def _trained(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n, *(float(m[k]) for k in ("accuracy", "precision", "recall", "f1_score", "roc_auc"))) for n, (_, m) in out.items()], "model string, accuracy double, precision double, recall double, f1_score double, roc_auc double")
 
 
+def _tuned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df, columns = _features(spark, sf_dir)
+    _, found = learning.cross_validate(df.where("train"), columns, name)
+    return spark.createDataFrame([(str(sorted(s.items())), float(f)) for s, f in found], "setting string, f1_score double")
+
+
 @query()
 def train_logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained(spark, sf_dir, ["logistic_regression"])
@@ -48,21 +54,40 @@ def train_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tuned_logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tuned(spark, sf_dir, "logistic_regression")
+
+
+@query()
+def tuned_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tuned(spark, sf_dir, "random_forest")
+
+
+@query()
+def tuned_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tuned(spark, sf_dir, "boosted_trees")
+
+
+@query()
+def tuned_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tuned(spark, sf_dir, "support_vectors")
+
+
+@query()
+def folded_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = _features(spark, sf_dir)
-    _, found = learning.cross_validate(df.where("train"), columns, "logistic_regression", n=3, folds=3)
-    return spark.createDataFrame([(str(sorted(s.items())), float(f)) for s, f in found], "setting string, f1_score double")
+    return spark.createDataFrame([(n, float(learning.folded_f1(df.where("train"), columns, n))) for n in learning.classifiers()], "model string, f1_score double")
 
 
 @query()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = _features(spark, sf_dir)
-    return learning.mean_importance(spark, learning.train(df, columns, ["logistic_regression", "random_forest"]), columns)
+    return learning.mean_importance(spark, learning.train(df, columns), columns)
 
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = _features(spark, sf_dir)
-    return spark.createDataFrame([(k, float(m["f1_score"])) for k, m in learning.ablation(df, columns, "logistic_regression").items()], "family string, f1_score double")
+    return spark.createDataFrame([(k, float(m["f1_score"])) for k, m in learning.ablation(df, columns).items()], "family string, f1_score double")
 
 
 @query()
