@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.spatial import haversine, planar
+from tessera.functions.spatial import RADIUS, haversine, planar
+from tessera.sources.scratch import stored
 
 
 def nearest(points: DataFrame, point: tuple[float, float], k: int, key: str) -> DataFrame:
@@ -14,18 +15,51 @@ def nearest(points: DataFrame, point: tuple[float, float], k: int, key: str) ->
 
 
 def batch_nearest(queries: DataFrame, points: DataFrame, k: int, key: str, query: str, degrees: float) -> DataFrame:
-    """The k nearest points (metres) of each query among those in its grid cell and the eight around it.
+    """The k nearest points (metres) of each query, ties by key; exact.
 
-    Exact for neighbours within ``degrees`` of latitude and of longitude; take as wide a grid as answers can be far.
+    Points are sought in the query's grid cell and the eight around it. Where what lies outside may be nearer than the k-th found, or fewer
+    are found, the query goes on with cells twice as wide, in the end with all points. ``degrees``: width of the first cells.
     """
-    x, y = F.floor(F.col("lon") / degrees), F.floor(F.col("lat") / degrees)
-    near = queries.select(F.col(query), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"), F.explode(F.sequence(x - 1, x + 1)).alias("_x"), F.sequence(y - 1, y + 1).alias("_ys")).select("*", F.explode("_ys").alias("_y")).drop("_ys")
-    each = near.join(points.withColumn("_x", x).withColumn("_y", y), ["_x", "_y"])
+    points = points.where("lon is not null and lat is not null")
+    left = queries.select(F.col(query), F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).where("qlon is not null and qlat is not null")
+    done = None
+    while True:
+        whole = degrees >= 360
+        found = _ranked(left if whole else _windows(left, degrees), points if whole else points.withColumn("_x", F.floor(F.col("lon") / degrees)).withColumn("_y", F.floor(F.col("lat") / degrees)), k, key, query, whole)
+        if whole:
+            return found if done is None else done.unionByName(found)
+        found = stored(found)
+        # A metre less for rounding: of points at one distance the smaller key wins, wherever it is.
+        full = found.groupBy(query).agg(F.count("*").alias("_n"), F.max("metres").alias("_far"))
+        sure = stored(left.join(full, query).where((F.col("_n") >= k) & (F.col("_far") < _reach(F.col("qlon"), F.col("qlat"), degrees) - 1.0)).select(query))
+        found = found.join(sure, query, "left_semi")
+        done = found if done is None else done.unionByName(found)
+        left = stored(left.join(sure, query, "left_anti"))
+        if left.isEmpty():
+            return done
+        degrees *= 2
+
+
+def _windows(queries: DataFrame, degrees: float) -> DataFrame:
+    x, y = F.floor(F.col("qlon") / degrees), F.floor(F.col("qlat") / degrees)
+    return queries.select("*", F.explode(F.sequence(x - 1, x + 1)).alias("_x"), F.sequence(y - 1, y + 1).alias("_ys")).select("*", F.explode("_ys").alias("_y")).drop("_ys")
+
+
+def _ranked(near: DataFrame, points: DataFrame, k: int, key: str, query: str, whole: bool) -> DataFrame:
+    each = near.crossJoin(points) if whole else near.join(points, ["_x", "_y"])
     metres = each.withColumn("metres", haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")))
     rank = F.row_number().over(Window.partitionBy(query).orderBy("metres", key))
     return metres.withColumn("rank", rank).where(F.col("rank") <= k).select(query, key, "metres", "rank")
 
 
+def _reach(lon: Column, lat: Column, degrees: float) -> Column:
+    """Metres within which no point is outside the cell of a place and the eight around it; none across the 180th meridian, which cells don't cross."""
+    x, y = F.floor(lon / degrees), F.floor(lat / degrees)
+    east = F.least(lon - (x - 1) * degrees, (x + 2) * degrees - lon, F.lit(180.0) - lon, lon + 180.0, F.lit(90.0))
+    north = F.least(lat - (y - 1) * degrees, (y + 2) * degrees - lat)
+    return RADIUS * F.least(F.radians(north), F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.greatest(east, F.lit(0.0))))))
+
+
 def z_order(df: DataFrame, lon: str = "lon", lat: str = "lat", bits: int = 16) -> DataFrame:
     """Rows range-partitioned and sorted by interleaved bits of their place, so that a box touches few files."""
     unit = lambda c, low, span: F.floor((F.col(c) - low) / span * (2**bits - 1)).cast("long")
