@@ -22,9 +22,10 @@ df as (select term, count(*) as df from tf group by 1), ut as (select distinct q
 bm as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from ut join tf using (term) join df using (term) join dl using (doc_id), st group by 1, 2)"""
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The first n words of the benchmark's items."""
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, n)
+def _queries(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """The benchmark's items, or their first n words."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    words = words if n is None else F.slice(words, 1, n)
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
@@ -97,7 +98,7 @@ def lookup_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = _queries(spark, sf_dir, 2), _index(spark, sf_dir)
+    queries, index = _queries(spark, sf_dir), _index(spark, sf_dir)
     hits = Q.phrase_prefix_hits(queries, index, "doc_id", ["text"]).withColumn("score", F.lit(1.0))
     fuzzy = Q.fuzzy_clause(queries, index, "doc_id", {"text": 1.0}, 1.0, prefix=1)
     return Q.top_k(Q.should([hits, fuzzy], "doc_id"), "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
