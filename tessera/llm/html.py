@@ -40,6 +40,8 @@ ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login search form widget share sharing social related recommended comment comments reply replies disqus discussion pagination pager toc".split()
 )
+#: Words that with the above make up one class, as in site-header or menu-list; of others, as in entry-header or has-sidebar, it is not beside the article.
+LAYOUT_WORDS = frozenset("site main top bottom left right primary secondary global wrapper wrap container box bar area block inner list links link item items button buttons icons text section widget widgets posts".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body".split())
 #: A wrapper's trees are folded in so many parts first, so that no host is one task's work alone.
 SALTS = 16
@@ -55,20 +57,21 @@ def host_of(url: str | None) -> str:
 
 
 def _sign(name: str, attrs: str) -> str:
-    """An element's name with what marks its role: ``div!`` is beside the article, ``div*`` may hold it."""
+    """An element's name with what marks its role: ``div!`` is beside the article, ``div*`` may hold it; ``div!!`` is beside it by its role, not its class."""
     if name in ASIDE:
         return name + "!"
     mark = ""
     for key, a, b, c in ATTRIBUTE.findall(attrs) if attrs else ():
-        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())
+        tokens = [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower()) for t in (a or b or c).split()]
+        words = {w for t in tokens for w in t}
         if key.lower() == "role":
-            if ASIDE_ROLES.intersection(words):
-                mark = "!"
+            if ASIDE_ROLES & words:
+                mark = "!!"
         elif name not in ("body", "html", "article", "main"):
-            if ASIDE_WORDS.intersection(words):
-                mark = "!"
-            elif not mark and ARTICLE_WORDS.intersection(words):
-                mark = "*"
+            if any(ASIDE_WORDS.intersection(t) and ASIDE_WORDS.union(LAYOUT_WORDS).issuperset(t) for t in tokens):
+                mark = "!!" if mark == "!!" else "*!" if "*" in mark or ARTICLE_WORDS & words else "!"
+            elif ARTICLE_WORDS & words and mark in ("", "!"):
+                mark = "*" + mark
     return name + mark
 
 
@@ -126,8 +129,37 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str, tuple[int, ...]]]:
         yield tuple(path), unescape("".join(held)), tuple(numbers)
 
 
+def _soft(sign: str) -> bool:
+    """Whether only class words say that the element is beside the article."""
+    return sign.endswith("!") and not sign.endswith("!!") and sign.rstrip("!*") not in ASIDE and sign != "header!"
+
+
+def read_blocks(html: str) -> list[tuple[tuple[str, ...], str, tuple[int, ...]]]:
+    """blocks() that are not blank. A class marks no element beside the article that holds the article or most of the text, unless the article is elsewhere."""
+    found = [b for b in blocks(html) if b[1].strip()]
+    held: dict[int, list[int]] = {}  # of an element that class words mark: code points in all, and in article or main
+    total = free = told = 0
+    for path, text, numbers in found:
+        if any(s.endswith("!") and not _soft(s) for s in path):
+            continue
+        n, inside = len(text), "article" in path or "main" in path
+        total += n
+        soft = [k for k, s in enumerate(path) if _soft(s)]
+        if not soft:
+            free += n
+            told += n if inside or any(s.endswith("*") for s in path) else 0
+        for k in soft:
+            mine = held.setdefault(numbers[k], [0, 0])
+            mine[0] += n
+            mine[1] += n if "article" in path[k + 1 :] or "main" in path[k + 1 :] else 0
+    void = {k for k, (n, inside) in held.items() if (2 * n > total or inside > free) and 10 * told < n}
+    if not void:
+        return found
+    return [(tuple(s[:-1] if k in void else s for s, k in zip(path, numbers, strict=True)), text, numbers) for path, text, numbers in found]
+
+
 def tree(html: str) -> list:
-    return tree_of(blocks(html))
+    return tree_of(read_blocks(html))
 
 
 def tree_of(found: Iterable[tuple[tuple[str, ...], str, tuple[int, ...]]]) -> list:
@@ -269,7 +301,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             shapes, out, texts = [], [], []
             for html in texts_of(batch.column(1)):
-                found = [b for b in blocks(html) if b[1].strip()]
+                found = read_blocks(html)
                 shapes.append(shape_of(p for p, _, _ in found))
                 out.append(json.dumps(tree_of(found)))
                 mine: dict[str, list] = {}
@@ -338,7 +370,7 @@ def extract(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
         for batch in batches:
             shapes, out = [], []
             for page in texts_of(batch.column(3)):
-                found = [b for b in blocks(page) if b[1].strip()]
+                found = read_blocks(page)
                 shapes.append(shape_of(p for p, _, _ in found))
                 own = own_paths(p for p, _, _ in found)
                 out.append([{"path": "/".join(p), "text": " ".join(t.split()), "own": p in own} for p, t, _ in found if not _beside(p)])

@@ -40,6 +40,20 @@ def test_a_host_of_several_templates(spark):
         assert [found[k] for k in (4, 6)] == [("Marked text %d " % k * 9).strip() for k in (4, 6)]
 
 
+def test_class_words_that_mark_no_sidebar(spark):
+    text = "<p>A text that goes on for a while, and then some more of it.</p>"
+    rows = [
+        (0, "http://a.x/", f"<body><div class='content has-sidebar'><article><h1>T</h1>{text}</article></div><div class='sidebar'>S</div>"),
+        (1, "http://b.x/", f"<body><div class='site-header'>H</div><div class='article-header'><h1>T</h1></div><div class='entry share-enabled comments-open'>{text}</div><div class='cookie-notice'>C</div>"),
+        (2, "http://c.x/", f"<body><div class='sidebar right'><nav>N</nav><article><h1>T</h1>{text}</article></div>"),
+        (3, "http://d.x/", f"<body><div id='widget'><div class='menu'>M</div><h1>T</h1>{text}</div><div class='main-menu'>M</div>"),
+        (4, "http://e.x/", f"<body><div class='story'><h1>T</h1>{text}</div><div class='comments'>{text * 3}</div>"),
+        (5, "http://f.x/", f"<body><div role='navigation'>{text * 3}</div><div class='related'><article>R</article></div><div class='story'><h1>T</h1>{text}</div>"),
+    ]
+    found = [r.text for r in H.extract(pages(spark, rows)).orderBy("page_id").collect()]
+    assert found == ["T A text that goes on for a while, and then some more of it."] * 6
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "u", None), (2, None, ""), (3, "http://a.b", "plain text, 1 < 2 & more"), (4, "http://a.b", "<p>unclosed <b>bold<p>next"), (5, "http://a.c", "<<<>>> &am &#x41; <p"),
