@@ -102,11 +102,11 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
     kind = rows.schema["node"].dataType.simpleString()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), None
+        forest, held, large = Forest(), None, None
         type_ = pa.int64()
 
-        def group(node, n, at) -> None:
-            if num and len(node) <= 64:
+        def group(node, n, at, rest) -> None:
+            if num and len(node) <= 64 and not rest:
                 need = -(-num * (n[:, None] + n[None, :]) // (num + den))
                 most = 1 + np.minimum((n - at - 1)[:, None], (n - at - 1)[None, :])
                 for a, b in np.argwhere(np.triu((most >= need) & (np.minimum(n[:, None], n[None, :]) * den >= num * np.maximum(n[:, None], n[None, :])), 1)):
@@ -121,7 +121,7 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             edge = np.flatnonzero(np.diff(key)) + 1
             first, last = np.r_[0, edge], np.r_[edge, len(key)]
             for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
-                group(node[a:b].tolist(), n[a:b] if num else None, at[a:b] if num else None)
+                group(node[a:b].tolist(), n[a:b] if num else None, at[a:b] if num else None, key[a] == large)
 
         for batch in batches:
             if not batch.num_rows:
@@ -137,6 +137,7 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             if len(held[0]) > 100_000:  # one key alone: its last row is enough to go on from
                 full(*held)
                 held = [x[-1:] for x in held]
+                large = held[0][0]  # what is left of it may look small
         if held is not None:
             full(*held)
         yield from stars(forest, type_)

@@ -95,3 +95,13 @@ def test_components(spark):
 
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rest_of_a_large_bucket(spark):
+    from tessera.llm.components import bucket_edges
+
+    # 20 rows are left when the task has linked 150,000; by their places alone no two of them would be candidates
+    rows = spark.range(150_020).selectExpr("1L as key", "id as node", "10L as n", "9L as at")
+    found = bucket_edges(rows, 90, 100)
+    assert found.select("u").distinct().count() >= 150_019 and found.select("v").distinct().collect()[0].v == 0
+    assert found.where("u >= 150000 and v = 0").count() == 20
