@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows that an Arrow batch of documents or pages holds at most; kernels cut batches further by bytes.
-BATCH_ROWS = 512
+#: Bytes that an Arrow batch holds at most, or one longer row; kernels cut batches further. One setting for all plans of a session.
+BATCH_BYTES = 4 << 20
 #: A side of a join is broadcast up to this many rows of at most ROW_BYTES each, otherwise both sides are shuffled.
 BROADCAST_ROWS = 500_000
 ROW_BYTES = 64
@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder path below ``spark.checkpoint.dir``; where that is unset (a single machine), a folder of this process."""
+    """A new folder path below ``spark.checkpoint.dir``; where that is unset and the master is this machine, a folder of this process."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = _own = _own or tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
@@ -41,9 +43,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow(df: DataFrame, function: Callable, schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """``df.mapInArrow(function, schema)`` with batches of at most ``rows`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` with batches of at most BATCH_BYTES."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b") != str(BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)

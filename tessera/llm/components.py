@@ -86,7 +86,7 @@ def connected(edges: DataFrame) -> DataFrame:
         root = hooks.select(F.col("u").alias("v"), F.col("v").alias("w"))
         labels = hooks if labels is None else stored(labels.join(root, "v", "left").select("u", F.coalesce("w", "v").alias("v")).unionByName(hooks))
         a = left.join(hooks.select("u", F.col("v").alias("x")), "u").join(root, "v", "left").select("x", F.coalesce("w", "v").alias("y")).where("x <> y")
-        left = stored(arrow(a.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), forest_of, schema, 50_000))
+        left = stored(arrow(a.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), forest_of, schema))
     if labels is None:
         labels = left
     return labels.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(labels.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -143,7 +143,7 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
         yield from stars(forest, type_)
 
     names = ("key", "node", "n", "at") if num else ("key", "node")
-    return arrow(rows.select(*names).repartition("key").sortWithinPartitions(*names[:3:2]), pairs, f"u {kind}, v {kind}", 50_000)
+    return arrow(rows.select(*names).repartition("key").sortWithinPartitions(*names[:3:2]), pairs, f"u {kind}, v {kind}")
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:

@@ -80,7 +80,7 @@ def _centres(reps: DataFrame, cell: int) -> dict[str, np.ndarray]:
             centre = spherical_kmeans(unit(np.vstack(rows)), shared.value[g])
             yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([centre.shape[1]], pa.int32()), pa.array([centre.tobytes()], pa.binary())], names=["grp", "dim", "centre"])
 
-    rows = arrow(sample.select("grp", "vector").repartition("grp"), fit, "grp string, dim int, centre binary", 4096).collect()
+    rows = arrow(sample.select("grp", "vector").repartition("grp"), fit, "grp string, dim int, centre binary").collect()
     return {r.grp: np.frombuffer(r.centre).reshape(-1, r.dim) for r in rows}
 
 
@@ -115,14 +115,14 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
                     row, where = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[row])), pa.array([g] * len(row)), batch.column(2).take(pa.array(at[row])), own.take(pa.array(row)), pa.array(where.astype(np.int32)), pa.array(home[row] == where)], names=["rep", "grp", "n", "vector", "cell", "home"])
 
-    placed = stored(arrow(reps.select("rep", "grp", "n", "vector"), place, "rep long, grp string, n long, vector array<double>, cell int, home boolean", 1024))
+    placed = stored(arrow(reps.select("rep", "grp", "n", "vector"), place, "rep long, grp string, n long, vector array<double>, cell int, home boolean"))
     sizes = stored(placed.groupBy("grp", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks")))
     few = sizes.count() <= BROADCAST_ROWS
     each = placed.join(F.broadcast(sizes) if few else sizes, ["grp", "cell"])
     # Left rows of a cell are dealt out over its blocks; every row of the cell is a right row of each block.
     left = each.where("home").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
     right = each.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    found = stored(arrow(left.unionByName(right).select("grp", "cell", "block", "side", "rep", "n", "vector").repartition("grp", "cell", "block").sortWithinPartitions("grp", "cell", "block", "side", "rep"), _compare(cosine), "u long, v long, links long", 1024))
+    found = stored(arrow(left.unionByName(right).select("grp", "cell", "block", "side", "rep", "n", "vector").repartition("grp", "cell", "block").sortWithinPartitions("grp", "cell", "block", "side", "rep"), _compare(cosine), "u long, v long, links long"))
     comps = connected(found.where("v is not null").select("u", "v"))
     links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     classes = stored(reps.select("h1", "h2", "rep", "n").join(links.withColumnRenamed("u", "rep"), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or links > 0"))

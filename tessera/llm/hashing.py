@@ -1,27 +1,35 @@
-"""Vectorised polynomial hashes over bytes, modulo 2**64."""
+"""Vectorised polynomial hashes over bytes, modulo two primes.
+
+Modulo a power of two, different strings of equal hash are easy to write down whatever the base is. Modulo a prime that takes
+knowing the base, and two primes below 2**31 together leave about 62 bits to chance; their products stay within 64 bits.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+PRIMES = (np.uint64(2_147_483_647), np.uint64(2_147_483_629))
+_BASES = (1_213_906_577, 1_763_042_303)
+_SYMBOLS = tuple(np.random.RandomState(20240229 + k).randint(1, int(p), 256).astype(np.uint64) for k, p in enumerate(PRIMES))
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_SYMBOLS = np.random.RandomState(20240229).randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = {}
+#: Powers are kept for the next call up to so many.
+KEPT = 1 << 20
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    """base**0 .. base**(n-1); kept for the next call."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
+def powers(n: int, base: int, modulus: int = 0) -> np.ndarray:
+    """base**0 .. base**(n-1), modulo ``modulus`` (below 2**32), or 2**64 without one."""
+    have = _powers.get((int(base), int(modulus)), np.ones(1, np.uint64))
+    if len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
-            _powers[int(base)] = have
+        while len(have) < size:
+            step = np.uint64(pow(int(base), len(have), int(modulus) or 1 << 64))
+            more = have * step
+            have = np.concatenate([have, more % np.uint64(modulus) if modulus else more])
+        if size <= KEPT:
+            _powers[int(base), int(modulus)] = have
     return have[:n]
 
 
@@ -36,15 +44,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial: entry i covers the first i bytes."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SYMBOLS[data] * powers(len(data), _STEP), out=out[1:])
+    """Prefix sums of the polynomials, a row for each prime: entry i covers the first i bytes. Below 2**33 bytes no sum overflows."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for row, p, base, symbols in zip(out, PRIMES, _BASES, _SYMBOLS, strict=True):
+        np.cumsum(symbols[data] * powers(len(data), base, p) % p, out=row[1:])
     return out
 
 
+def _back(n: int, k: int) -> np.ndarray:
+    return powers(n, pow(_BASES[k], -1, int(PRIMES[k])), PRIMES[k])
+
+
 def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The hash of the bytes start..end, whatever stands before them."""
-    return mix((sums[end] - sums[start]) * powers(len(sums), _BACK)[start] + (end - start).astype(np.uint64) * _STEP)
+    n = sums.shape[1]
+    a, b = ((s[end] - s[start]) % p * _back(n, k)[start] % p for k, (s, p) in enumerate(zip(sums, PRIMES, strict=True)))
+    return mix((a << np.uint64(32) | b) + (end - start).astype(np.uint64) * _STEP)
+
+
+def windows(sums: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of all strings of one length."""
+    n = sums.shape[1] - length
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    a, b = ((s[length:] - s[:n]) % p * _back(n, k) % p for k, (s, p) in enumerate(zip(sums, PRIMES, strict=True)))
+    return mix(a << np.uint64(32) | b)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

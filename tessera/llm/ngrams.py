@@ -105,7 +105,7 @@ def _cells(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() for c in total.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((SLICES, CELLS // SLICES), np.uint32)
-    for k, c in arrow(rows.repartition("slice"), add, "slice int, counts binary", 16).collect():  # SLICES rows, 4 MB together
+    for k, c in arrow(rows.repartition("slice"), add, "slice int, counts binary").collect():  # SLICES rows, 4 MB together
         out[k] = np.frombuffer(c, "<u4")
     return out.reshape(-1)
 

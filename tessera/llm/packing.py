@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
 
-    return arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), cut, PIECES, rows=1024)
+    return arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), cut, PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -226,4 +226,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, slot = np.divmod(rank - s[:, 1], s[:, 3])
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(s[:, 4] + sequence), pa.array(s[:, 5] + slot * length)], names=[*names, "sequence_id", "offset"])
 
-    return arrow(ranked, place, out, rows=10_000)
+    return arrow(ranked, place, out)

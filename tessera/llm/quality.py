@@ -98,7 +98,7 @@ def _gram(rows: DataFrame, kernel: Kernel) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r.tobytes() for r in total.values()], pa.binary())], names=["i", "v"])
 
     schema = "i int, v binary"
-    parts = arrow(arrow(rows.select("x", F.col("y").cast("double")), products, schema, 4096).repartition("i"), summed, schema, 4096)
+    parts = arrow(arrow(rows.select("x", F.col("y").cast("double")), products, schema).repartition("i"), summed, schema)
     out = np.zeros((size, size))
     for i, v in parts.collect():  # FEATURES + 2 rows
         out[i] = np.frombuffer(v)
@@ -156,7 +156,7 @@ def fit(stats: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "q
             at = ((model.raw(_matrix(batch.column(0))) - LOW) / (HIGH - LOW) * (BINS - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(1)], names=["bin", "y"])
 
-    bins = sorted(map(tuple, arrow(rows, binned, "bin int, y double", 4096).groupBy("bin").agg(F.avg("y"), F.count("*")).collect()))  # BINS rows at most
+    bins = sorted(map(tuple, arrow(rows, binned, "bin int, y double").groupBy("bin").agg(F.avg("y"), F.count("*")).collect()))  # BINS rows at most
     if bins:
         at, y, n = (np.array(c, float) for c in zip(*bins, strict=True))
         model.at, model.level = LOW + (at + 0.5) / (BINS - 1) * (HIGH - LOW), pooled(y, n)
@@ -171,7 +171,7 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
-    return arrow(stats.select("doc_id", "x"), score, "doc_id long, score double", 4096)
+    return arrow(stats.select("doc_id", "x"), score, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

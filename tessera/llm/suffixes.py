@@ -2,15 +2,16 @@
 
 Every window of LENGTH bytes has an anchor: of the GRAM-byte strings in it, the leftmost with the smallest hash. Equal windows
 have their anchors at the same place in them, so only texts around anchors of equal content can share one. A run of
-windows with one anchor is a piece. Pieces that occur again as a whole are settled by counting hashes. Other
-pieces whose anchor occurs again meet by anchor in one task: their suffixes from the anchor on are
-mergesorted, each comparison a binary search over prefix hashes for the common extension; the extension to the neighbours bounds
-which windows of a piece can occur in another one, and those are looked up by hash and compared byte by byte.
+windows with one anchor is a piece. Pieces whose anchor occurs again are counted by their bytes, so that each different one goes on once. Those of one
+anchor meet in one task: their suffixes from the anchor on are mergesorted, each comparison a binary search over
+prefix hashes for the common extension, and the order is verified byte by byte; the extension to the neighbours bounds
+which windows of a piece can occur in another one, and those are looked up by hash and compared byte by byte as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
-from tessera.llm.hashing import mix, powers, prefix
+from tessera.llm.hashing import between, mix, prefix, windows
 
 LENGTH, GRAM = 400, 100
 #: Bytes hashed at once; bytes and pieces that a task sorts at once. An anchor with more pieces goes window by window instead.
-CHUNK, SORT_BYTES, SORT_PIECES = 1 << 19, 1 << 20, 20_000
+CHUNK, SORT_BYTES, SORT_PIECES = 1 << 17, 1 << 20, 20_000
 #: Entries up to which the finds are broadcast to the documents.
 FEW = 2_000_000
+#: Bits of a piece's hash that name it; what has the same name is told apart by its bytes.
+NAME_BITS = 63
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-
-
-def spans_hash(sums: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all strings of one length."""
-    n = len(sums) - length
-    return mix((sums[length:] - sums[:n]) * powers(n, _BACK)) if n > 0 else np.zeros(0, np.uint64)
-
-
-def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (sums[end] - sums[start]) * powers(len(sums), _BACK)[start]
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -56,23 +48,42 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """row, first and last window start in the row, anchor in the row, hash of the anchor, hash of the whole piece."""
     size = np.diff(offsets)
-    windows = np.maximum(0, size - length + 1)
-    total = int(windows.sum())
+    many = np.maximum(0, size - length + 1)
+    total = int(many.sum())
     if not total:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     sums = prefix(data)
-    h = spans_hash(sums, gram)
-    row = np.repeat(np.arange(len(size)), windows)
-    start = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[:-1][row]
+    h = windows(sums, gram)
+    row = np.repeat(np.arange(len(size)), many)
+    start = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + offsets[:-1][row]
     anchor = sliding_argmin(h, length - gram + 1)[start]
     head = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(row) != 0)])
     tail = np.r_[head[1:], total] - 1
     row, first, last, anchor = row[head], start[head], start[tail], anchor[head]
-    whole = mix(mix(between(sums, first, last + length)) + ((last - first) * 1024 + (anchor - first)).astype(np.uint64))
+    whole = mix(between(sums, first, last + length) + ((last - first) * 1024 + (anchor - first)).astype(np.uint64) * _STEP)
     base = offsets[:-1][row]
     return row, first - base, last - base, anchor - base, h[anchor], whole
 
 
+def pieces_by_chunk(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same in parts of about ``chunk`` bytes, also where a row is longer: what one part ends with begins the next."""
+    for a, b in chunks(offsets, chunk):
+        if offsets[b] - offsets[a] <= chunk + length:
+            row, *rest = pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
+            yield row + a, *rest
+            continue
+        at, end = int(offsets[a]), int(offsets[b])
+        while at < end:
+            to = min(end, at + chunk + length)
+            row, first, last, anchor, h, whole = pieces(data[at:to], np.array([0, to - at]), length, gram)
+            n = len(row) if to == end else len(row) - 1  # the last run may go on
+            if not n:
+                n = len(row)
+            base = at - int(offsets[a])
+            yield row[:n] + a, first[:n] + base, last[:n] + base, anchor[:n] + base, h[:n], whole[:n]
+            at = end if to == end else at + (int(first[n]) if n < len(row) else to - at - length + 1)
+
+
 def common_extension(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many bytes from a and from b are equal, up to ``most``: binary search over prefix hashes."""
     low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
@@ -120,13 +131,19 @@ def suffix_order(data: np.ndarray, sums: np.ndarray, at: np.ndarray, end: np.nda
         order = merged
         width *= 2
     x, y = order[1:], order[:-1]
-    return order, np.r_[0, common_extension(sums, at[x], at[y], np.minimum(end[x] - at[x], end[y] - at[y]))]
+    same = common_extension(sums, at[x], at[y], np.minimum(end[x] - at[x], end[y] - at[y]))
+    raw = data.tobytes()
+    suffixes = [raw[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+    if not all(suffixes[p][:n] == suffixes[q][:n] and suffixes[q][n:] >= suffixes[p][n:] and suffixes[q][n : n + 1] != (suffixes[p][n : n + 1] or None) for p, q, n in zip(y.tolist(), x.tolist(), same.tolist(), strict=True)):
+        order = np.array(sorted(range(n), key=suffixes.__getitem__), np.int64)  # hashes collided: by the bytes alone
+        same = np.array([len(os.path.commonprefix([suffixes[p], suffixes[q]])) for p, q in zip(order[:-1], order[1:], strict=True)], np.int64)
+    return order, np.r_[0, same]
 
 
 def repeated_windows(texts: list[bytes], anchors: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each piece, the runs (first, last) of window starts that start a string found elsewhere among the pieces.
 
-    A piece is the bytes of all its windows, ``anchors`` the place of its anchor in it.
+    A piece is the bytes of all its windows, ``anchors`` the place of its anchor in it. Pieces differ from each other, but for their anchors' places.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -180,37 +197,57 @@ def repeated_windows(texts: list[bytes], anchors: np.ndarray, length: int = LENG
 
 
 def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Pieces of the documents (doc, key, text): gram and name, hashes of the anchor and of the whole, and where they are."""
+    name_bits = np.uint64(NAME_BITS)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column(2))
             ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
-            for a, b in chunks(offsets, CHUNK):
-                row, first, last, anchor, gram_hash, whole = pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
+            for row, first, last, anchor, h, whole in pieces_by_chunk(data, offsets, length, gram):
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram_hash.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x[a + row]) for x in ids), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))], names=["gram", "whole", "doc", "key", "first", "last", "anchor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((whole >> (np.uint64(64) - name_bits)).view(np.int64)), *(pa.array(x[row]) for x in ids), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))], names=["gram", "name", "doc", "key", "first", "last", "anchor"])
 
-    return arrow(docs, find, "gram long, whole long, doc long, key long, first int, last int, anchor int")
+    return arrow(docs, find, "gram long, name long, doc long, key long, first int, last int, anchor int")
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """Texts of the pieces listed in column ``at``."""
+    """Bytes of the pieces listed in column ``at`` of the documents (doc, key, text, at)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "name", "doc", "key", "first", "anchor", "piece"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            rows = batch.to_pydict()
-            for doc, key, text, at in zip(rows["doc"], rows["key"], rows["text"], rows["at"], strict=True):
+            out: list[list] = [[] for _ in names]
+            held = 0
+            for k in range(batch.num_rows):
+                doc, key, text, at = (batch.column(c)[k].as_py() for c in ("doc", "key", "text", "at"))
                 raw = text.encode("utf-8")
                 for p in at:
-                    for column, x in zip(out, (p["gram"], doc, key, p["first"], p["anchor"] - p["first"], raw[p["first"] : p["last"] + length]), strict=True):
+                    for column, x in zip(out, (p["gram"], p["name"], doc, key, p["first"], p["anchor"] - p["first"], raw[p["first"] : p["last"] + length]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "doc", "key", "first", "anchor", "piece"])
+                    held += len(out[-1][-1])
+                    if held > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                        out, held = [[] for _ in names], 0
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
-    return arrow(docs, cut, "gram long, doc long, key long, first int, anchor int, piece binary", 256)
+    return arrow(docs.select("doc", "key", "text", "at"), cut, "gram long, name long, doc long, key long, first int, anchor int, piece binary")
 
 
-def _sorted(parts: DataFrame, length: int) -> DataFrame:
-    """Runs (doc, key, first, last) of window starts found again, among pieces that meet by anchor."""
+def _texts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """Bytes of the pieces at ``places``, rows of _find()."""
+    listed = stored(places.groupBy("doc", "key").agg(F.collect_set(F.struct("gram", "name", "first", "last", "anchor")).alias("at")))
+    entries = listed.agg(F.sum(F.size("at"))).first()[0] or 0
+    return _cut(_join(docs, listed, entries, "inner"), length)
+
+
+def _sorted(classes: DataFrame, length: int) -> DataFrame:
+    """Runs (gram, name, id, first, last) of window starts found again, in the pieces (gram, name, id, n, anchor, piece) that meet by anchor.
+
+    A piece that occurs more than once, n times, is found again as a whole.
+    """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -218,9 +255,9 @@ def _sorted(parts: DataFrame, length: int) -> DataFrame:
 
         def out():
             runs = repeated_windows([r[5] for r in held], np.array([r[4] for r in held], np.int64), length)
-            rows = [(r[1], r[2], r[3] + a, r[3] + b) for r, found in zip(held, runs, strict=True) for a, b in found]
+            rows = [(*r[:3], a, b) for r, found in zip(held, runs, strict=True) for a, b in ([(0, len(r[5]) - length)] if r[3] > 1 else found)]
             if rows:
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc", "key", "first", "last"])
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "name", "id", "first", "last"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -233,23 +270,22 @@ def _sorted(parts: DataFrame, length: int) -> DataFrame:
         if held and (x := out()) is not None:
             yield x
 
-    return arrow(parts.repartition("gram").sortWithinPartitions("gram"), settle, "doc long, key long, first int, last int", 4096)
+    return arrow(classes.select("gram", "name", "id", "n", "anchor", "piece").repartition("gram").sortWithinPartitions("gram"), settle, "gram long, name long, id long, first int, last int")
 
 
-def _by_window(parts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many pieces for one task: windows are counted by hash, after a count in each task."""
+def _by_window(classes: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with too many different pieces for one task: windows are counted, after a count in each task."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pydict()
-            for doc, key, first, piece in zip(rows["doc"], rows["key"], rows["first"], rows["piece"], strict=True):
-                n = len(piece) - length + 1
-                two = [hashlib.blake2b(piece[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(two, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(first, first + n), pa.int32())], names=["window", "doc", "key", "first"])
+            for gram, name, id, n, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "name", "id", "n", "piece")), strict=True):
+                count = len(piece) - length + 1
+                two = [hashlib.blake2b(piece[k : k + length], digest_size=16).digest() for k in range(count)]
+                yield pa.RecordBatch.from_arrays([pa.array(two, pa.binary()), *(pa.array([x] * count, pa.int64()) for x in (gram, name, id, n)), pa.array(range(count), pa.int32())], names=["window", "gram", "name", "id", "n", "first"])
 
-    each = arrow(parts, windows, "window binary, doc long, key long, first int", 64)
-    again = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return each.join(again, "window").select("doc", "key", "first", F.col("first").alias("last"))
+    each = arrow(classes, cut, "window binary, gram long, name long, id long, n long, first int")
+    again = each.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select("window")
+    return each.join(again, "window").select("gram", "name", "id", "first", F.col("first").alias("last"))
 
 
 def _join(docs: DataFrame, finds: DataFrame, entries: int, how: str) -> DataFrame:
@@ -260,22 +296,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """``doc, key, runs``: window starts that begin a string found elsewhere. docs: doc, key, text."""
     found = stored(_find(docs, length, gram))
     again = stored(found.groupBy("gram").agg(F.count("*").alias("pieces")).where("pieces > 1").select("gram"))
-    near = stored(found.join(again, "gram"))
-    settled = stored(near.groupBy("gram", "whole").agg(F.count("*").alias("n")))
-    hits = stored(near.join(settled, ["gram", "whole"]).select("doc", "key", "first", "last", "anchor", "gram", "whole", (F.col("n") > 1).alias("all")))
-    # Where different pieces share an anchor, those that are alone meet one piece of each settled class.
-    mixed = stored(settled.groupBy("gram").agg(F.count("*").alias("different"), F.max("n").alias("most")).where("different > 1 and most > 1").select("gram"))
-    shown = join_small(hits.where("all"), mixed, "gram", "left_semi").groupBy("gram", "whole").agg(F.min(F.struct("doc", "key", "first", "last", "anchor")).alias("p")).select("gram", "p.*")
-    open_ = hits.where("not all").select("gram", "doc", "key", "first", "last", "anchor").unionByName(shown)
-    listed = stored(open_.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "first", "last", "anchor")).alias("at")))
-    entries = listed.agg(F.sum(F.size("at"))).first()[0] or 0
-    parts = stored(_cut(_join(docs, listed, entries, "inner"), length))
-    large = stored(parts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > SORT_PIECES).select("gram"))
-    runs = _sorted(parts.join(F.broadcast(large), "gram", "left_anti"), length)
+    near = stored(join_small(found, again, "gram", "left_semi"))
+    # Grouping by the bytes compares them; tasks send each different piece once.
+    texts = _texts(docs, near, length).groupBy("gram", "name", "anchor", "piece").agg(F.count("*").alias("n"))
+    classes = stored(texts.withColumn("id", F.monotonically_increasing_id()))
+    large = stored(classes.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > SORT_PIECES).select("gram"))
+    runs = _sorted(join_small(classes, large, "gram", "left_anti"), length)
     if not large.isEmpty():
-        runs = runs.unionByName(_by_window(parts.join(large, "gram", "left_semi"), length))
-    runs = hits.where("all").select("doc", "key", "first", "last").unionByName(runs)
-    each = runs.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+        runs = runs.unionByName(_by_window(join_small(classes, large, "gram", "left_semi"), length))
+    runs = stored(runs)
+    # Different pieces of one name: their places are told apart by their bytes.
+    twice = stored(classes.groupBy("gram", "name").agg(F.count("*").alias("n")).where("n > 1").select("gram", "name"))
+    at = ["doc", "key", (F.col("p") + F.col("first")).alias("first"), (F.col("p") + F.col("last")).alias("last")]
+    places, named = near.select("gram", "name", "doc", "key", F.col("first").alias("p")), runs
+    if not twice.isEmpty():
+        places, named = (join_small(x, twice, ["gram", "name"], "left_anti") for x in (places, runs))
+    each = join_small(places, named, ["gram", "name"]).select(*at)
+    if not twice.isEmpty():
+        odd = _texts(docs, join_small(near, twice, ["gram", "name"], "left_semi"), length).withColumnRenamed("first", "p")
+        odd = odd.join(classes.select("gram", "name", "anchor", "piece", "id"), ["gram", "name", "anchor", "piece"]).select("id", "doc", "key", "p")
+        each = each.unionByName(runs.join(odd, "id").select(*at))
+    each = each.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +341,8 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", leng
 
     Texts are UTF-8 bytes, null is empty. Every byte is removed that is covered by a string of ``length`` bytes which also starts
     anywhere else, in the same document or another, judged on the input. ``kept`` holds the bytes that remain, ``removed`` the maximal
-    removed runs (start, end). Each row is a document, equal rows and rows with one id too.
+    removed runs (start, end). Each row is a document, equal rows and rows with one id too, and those with a null id; a text is
+    read in parts, however long it is. No rows give no rows, other columns are left out.
     """
     whole = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = whole.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -324,7 +366,7 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", leng
                 removed.append([{"start": a, "end": b} for a, b in gone])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_bytes", "kept", "removed"])
 
-    return arrow(both, take, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, n_bytes long, kept binary, removed array<struct<start: long, end: long>>", 256)
+    return arrow(both, take, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, n_bytes long, kept binary, removed array<struct<start: long, end: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

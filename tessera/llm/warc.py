@@ -120,7 +120,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "position", "id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
-    return arrow(_files(spark, path), rows, RECORD, rows=1)
+    return arrow(_files(spark, path), rows, RECORD)
 
 
 def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
@@ -162,7 +162,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0) -
                         out, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    return _write(arrow(both, rebuild, "value string", rows=1), target)
+    return _write(arrow(both, rebuild, "value string"), target)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

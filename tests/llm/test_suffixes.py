@@ -71,3 +71,29 @@ def test_suffix_order():
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_names_that_collide(spark, monkeypatch, bits):
+    monkeypatch.setattr(S, "NAME_BITS", bits)
+    rows = case(4)
+    assert run(spark, rows) == brute(rows, 40)
+
+
+def test_long_texts_in_parts():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab" if rng.random() < 0.5 else "abcdefgh") for _ in range(n)) for n in (0, 39, 5000, 40, 300, 1500)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    whole = S.pieces(data, offsets, 40, 10)
+    parts = [np.concatenate(x) for x in zip(*S.pieces_by_chunk(data, offsets, 40, 10, 100), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_order_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(S, "between", lambda sums, start, end: (end - start).astype(np.uint64))
+    texts = ["abc", "abd", "ab", "b", "abcd"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size) - size
+    order, lcp = S.suffix_order(data, prefix(data), start, start + size)
+    assert [texts[k] for k in order] == sorted(texts) and lcp.tolist() == [0, 2, 3, 2, 0]
