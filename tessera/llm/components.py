@@ -15,6 +15,10 @@ from tessera.llm.common import arrow, join_small, stored
 GROUP_ROWS, GROUP_BYTES = 2000, 8 << 20
 #: Pairs of groups up to this size are compared one by one, behind a suffix filter.
 FEW = 8
+#: Buckets of candidate keys at least, bytes that one is meant for, entries from which a bucket is settled in part, and bytes that a task packs at once.
+BUCKETS, BUCKET_BYTES, FULL, PACK_BYTES = 1024, 8 << 20, 1 << 20, 8 << 20
+#: Nodes of one key up to which all their pairs are filtered.
+PAIRED = 64
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 
 
@@ -92,58 +96,127 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(labels.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
+
+
+def buckets_for(entries: int, size: int = ENTRY.itemsize) -> int:
+    """Into how many buckets so many entries go."""
+    return max(BUCKETS, -(-entries * size // BUCKET_BYTES))
+
+
+class Packer:
+    """Entries (key, node) and, with ``sized``, (n, at) as rows (bucket, block): a block holds a task's entries of one range of keys.
+
+    A row for each entry would cost more than all else that is done with it.
+    """
+
+    def __init__(self, buckets: int, sized: bool = False):
+        self.buckets, self.kind = np.uint64(buckets), ENTRY if sized else np.dtype(ENTRY.descr[:2])
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, key: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = np.empty(len(key), self.kind)
+        for name, x in zip(self.kind.names, (key, *rest), strict=True):
+            part[name] = x
+        self.parts.append(part)
+        self.held += part.nbytes
+        if self.held > PACK_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        every = np.concatenate(self.parts)
+        self.parts, self.held = [], 0
+        where = _bucket(every["key"], self.buckets)
+        order = np.argsort(where, kind="stable")
+        every, where = every[order], where[order]
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        ends = (np.r_[first, len(every)] * self.kind.itemsize).astype(np.int64)
+        blocks = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(every.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(where[first].astype(np.int32)), blocks], names=["bucket", "block"])
+
+
+def _bucket(key: np.ndarray, buckets: np.uint64) -> np.ndarray:
+    return ((key >> np.uint64(32)) * buckets >> np.uint64(32)).astype(np.int64)
+
+
+def small_groups(node: np.ndarray, n: np.ndarray, at: np.ndarray, first: np.ndarray, size: int, num: int, den: int) -> Iterator[np.ndarray]:
+    """Edges of the groups of one size that start at ``first``: pairs that the filters by length and by place let pass."""
+    need = lambda a, b: -(-num * (a + b) // (num + den))
+    for i in range(size):
+        for j in range(i + 1, size):
+            a, b = first + i, first + j
+            most = 1 + np.minimum(n[a] - at[a] - 1, n[b] - at[b] - 1)
+            kept = (node[a] != node[b]) & (most >= need(n[a], n[b])) & (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b]))
+            yield np.column_stack([node[a[kept]], node[b[kept]]])
+
+
 def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
-    """Candidate edges (u, v) from rows (key, node): nodes that share a key, as forests.
+    """Candidate edges (u, v) from a Packer's rows (bucket, block): nodes that share a key, as forests.
 
-    With num / den over 0 there are two more columns, n, a node's set size, and ``at``, the key's place in the set's order. Small
-    buckets are then filtered pair by pair by length and place; large ones link neighbours by size whose lengths
-    agree, which connects at least what all their pairs would.
+    With num / den over 0 entries are sized: n is a node's set size and ``at`` the key's place in the set's order. Pairs of nodes that
+    share a key are then filtered by length and place; where a key has over PAIRED nodes, neighbours by size whose lengths
+    agree are linked instead, which connects at least what all their pairs would.
     """
-    kind = rows.schema["node"].dataType.simpleString()
+    sized = bool(num)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, large = Forest(), None, None
-        type_ = pa.int64()
-
-        def group(node, n, at, rest) -> None:
-            if num and len(node) <= 64 and not rest:
-                need = -(-num * (n[:, None] + n[None, :]) // (num + den))
-                most = 1 + np.minimum((n - at - 1)[:, None], (n - at - 1)[None, :])
-                for a, b in np.argwhere(np.triu((most >= need) & (np.minimum(n[:, None], n[None, :]) * den >= num * np.maximum(n[:, None], n[None, :])), 1)):
-                    if node[a] != node[b]:
-                        forest.join(node[a], node[b])
-            else:
-                for k in range(len(node) - 1):
-                    if node[k] != node[k + 1] and (not num or n[k] * den >= num * n[k + 1]):
-                        forest.join(node[k], node[k + 1])
+        forest = Forest()
+        kind = ENTRY if sized else np.dtype(ENTRY.descr[:2])
+        held: list[np.ndarray] = []
+        size, now, large = 0, None, np.zeros(0, np.uint64)
+
+        def join(edges: np.ndarray) -> None:
+            for a, b in np.unique(edges, axis=0).tolist() if len(edges) else ():
+                forest.join(a, b)
 
-        def full(key, node, n=None, at=None) -> None:
-            edge = np.flatnonzero(np.diff(key)) + 1
-            first, last = np.r_[0, edge], np.r_[edge, len(key)]
-            for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
-                group(node[a:b].tolist(), n[a:b] if num else None, at[a:b] if num else None, key[a] == large)
+        def settle(last: bool) -> None:
+            """Joins what the held entries of a bucket say. Before the bucket's end only keys with many nodes are settled, of which one node for each size goes on."""
+            nonlocal held, size, large
+            x = np.concatenate(held)
+            x = x[np.lexsort((x["n"], x["key"]) if sized else (x["key"],))]
+            key, node = x["key"], x["node"]
+            new = np.r_[True, key[1:] != key[:-1]]
+            first = np.flatnonzero(new)
+            many = np.diff(np.r_[first, len(x)])
+            chained = (many > PAIRED) | np.isin(key[first], large) if sized else many > 1
+            inside = np.repeat(chained, many)
+            linked = np.flatnonzero(inside[1:] & ~new[1:] & (node[1:] != node[:-1]))
+            if sized:
+                n = x["n"].astype(np.int64)
+                linked = linked[n[linked] * den >= num * n[linked + 1]]
+            join(np.column_stack([node[linked], node[linked + 1]]))
+            if last:
+                if sized:
+                    at = x["at"].astype(np.int64)
+                    for k in np.unique(many[~chained & (many > 1)]).tolist():
+                        for edges in small_groups(node, n, at, first[~chained & (many == k)], k, num, den):
+                            join(edges)
+                held, size, large = [], 0, np.zeros(0, np.uint64)
+            else:
+                large = np.union1d(large, key[first[chained]]) if sized else large
+                x = x[~inside | new | (np.r_[True, x["n"][1:] != x["n"][:-1]] if sized else False)]
+                held, size = [x], len(x)
 
+        top = FULL
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            type_ = batch.column(1).type
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))  # the last key may go on
-            if cut:
-                full(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-            if len(held[0]) > 100_000:  # one key alone: its last row is enough to go on from
-                full(*held)
-                held = [x[-1:] for x in held]
-                large = held[0][0]  # what is left of it may look small
-        if held is not None:
-            full(*held)
-        yield from stars(forest, type_)
-
-    names = ("key", "node", "n", "at") if num else ("key", "node")
-    return arrow(rows.select(*names).repartition("key").sortWithinPartitions(*names[:3:2]), pairs, f"u {kind}, v {kind}")
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    if held:
+                        settle(True)
+                    now, top = bucket, FULL
+                held.append(np.frombuffer(block.as_buffer(), kind))
+                size += len(held[-1])
+                if size > top:
+                    settle(False)
+                    top = max(FULL, 2 * size)
+        if held:
+            settle(True)
+        yield from stars(forest, pa.int64())
+
+    return arrow(rows.select("bucket", "block").repartition("bucket").sortWithinPartitions("bucket"), pairs, "u long, v long")
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -196,15 +269,18 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return spread.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
 
-def verified(members: DataFrame, sets: Callable[[list[str]], list[np.ndarray]], num: int, den: int) -> DataFrame:
-    """Edges (u, v) of true links among members (comp, i, j, node, text), as forests; ``sets`` turns texts into sorted sets."""
+def verified(members: DataFrame, sets: Callable[[list, list[str]], list[np.ndarray]], num: int, den: int) -> DataFrame:
+    """Edges (u, v) of true links among members (comp, i, j, node, text), as forests; ``sets`` turns nodes and their texts into sorted sets.
+
+    Members with an empty set link with nothing.
+    """
     kind = members.schema["node"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, node, text = None, [], []
 
         def out():
-            found = [(k, s) for k, s in zip(node, sets(text), strict=True) if len(s)]
+            found = [(k, s) for k, s in zip(node, sets(node, text), strict=True) if len(s)]
             edges = [(found[a][0], found[b][0]) for a, b in links_within([s for _, s in found], num, den)] if len(found) > 1 else []
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), type_) for x in zip(*edges, strict=True)], names=["u", "v"])

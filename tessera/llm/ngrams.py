@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
-from tessera.llm.components import blocks, bucket_edges, connected, verified
+from tessera.llm.components import Packer, blocks, bucket_edges, buckets_for, connected, verified
 from tessera.llm.hashing import between, lowered, mix, prefix
 
 #: Cells that n-grams are counted in, sent and summed in slices.
-CELLS, SLICES = 1 << 20, 64
-CHUNK = 1 << 19
+CELLS, SLICES = 1 << 20, 256
+CHUNK = 1 << 17
+#: Sets that a task remembers having sent.
+MET = 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = np.random.RandomState(99).randint(0, 1 << 62, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,10 +62,18 @@ def word_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
-def sets_of(n: int) -> Callable[[list[str]], list[np.ndarray]]:
-    def sets(texts: list[str]) -> list[np.ndarray]:
+def name_of(grams: np.ndarray) -> bytes:
+    """16 bytes that stand for a set."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def sets_of(n: int) -> Callable[[list[str], list[str]], list[np.ndarray]]:
+    """Sets of texts; none for a text whose set is not the one named."""
+
+    def sets(names: list[str], texts: list[str]) -> list[np.ndarray]:
         data, offsets = strings(pa.array(texts, pa.large_string()))
-        return [s for a, b in chunks(offsets, CHUNK) for s in word_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)]
+        found = [s for a, b in chunks(offsets, CHUNK) for s in word_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)]
+        return [s if name_of(s).hex() == x else s[:0] for x, s in zip(names, found, strict=True)]
 
     return sets
 
@@ -75,24 +85,31 @@ def _by_chunk(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]
 
 
 def measured(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, print) of documents and rows (slice, counts) of the cells that a task has met. docs: doc_id, text."""
+    """Rows (doc_id, n, name) of documents, without a name where there are no n-grams, and rows (slice, counts) of the cells that a task has met. docs: doc_id, text."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "n", "print", "slice", "counts"]
+        names = ["doc_id", "n", "name", "slice", "counts"]
+        kind = None
         for batch in batches:
-            size, digest = [], []
+            size, named, kind = [], [], batch.column(0).type
             for _, sets in _by_chunk(batch.column(1), n):
                 size += map(len, sets)
-                digest += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                named += [name_of(s).hex() if len(s) else None for s in sets]
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
             none = [None] * len(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(named, pa.string()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         if cells.any():
             none = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([c.astype("<u4").tobytes() for c in cells.reshape(SLICES, -1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.string()), pa.array(range(SLICES), pa.int32()), pa.array(list(map(_narrow, cells.reshape(SLICES, -1))), pa.binary())], names=names)
+
+    return arrow(docs, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, name string, slice int, counts binary")
+
 
-    return arrow(docs, measure, "doc_id long, n long, print binary, slice int, counts binary")
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in 1, 2 or 4 bytes each."""
+    most = counts.max()
+    return np.minimum(counts, 0xFFFFFFFF).astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def _cells(rows: DataFrame) -> np.ndarray:
@@ -100,7 +117,7 @@ def _cells(rows: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(c, "<u4").astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(c, f"<u{len(c) * SLICES // CELLS}").astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes() for c in total.values()], pa.binary())], names=["slice", "counts"])
 
@@ -110,33 +127,39 @@ def _cells(rows: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, n: int, num: int, den: int, cells: np.ndarray) -> DataFrame:
-    """Rows (key, node, n, at): the n-grams of each document's prefix, rarest cells first.
+def prefixes(docs: DataFrame, n: int, num: int, den: int, cells: np.ndarray, buckets: int) -> DataFrame:
+    """Packed entries (key, node, n, at): the n-grams of each document's prefix, rarest cells first; a node is a set, by the first half of its name.
 
     Two sets of similarity num / den share one of the first size - ceil(size * num / den) + 1 n-grams of either.
     """
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        cells, packer = shared.value, Packer(buckets, sized=True)
+        met_before: set[bytes] = set()  # a task sends a set once
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, sets in _by_chunk(batch.column(1), n):
-                key, node, size, at = [], [], [], []
-                for k, s in enumerate(sets):
-                    if m := len(s):
-                        p = m + num * m // -den + 1
-                        met = cells[s >> np.uint64(44)]
-                        first = np.lexsort((s, met))[:p]
-                        kept = np.flatnonzero(met[first] > 1)  # met once: in no other document
-                        key.append(s[first[kept]])
-                        at.append(kept)
-                        node.append(np.full(len(kept), ids[a + k]))
-                        size.append(np.full(len(kept), m))
-                if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (node, size, at))], names=["key", "node", "n", "at"])
-
-    return arrow(docs, rows, "key long, node long, n long, at long")
+            for _, sets in _by_chunk(batch.column(0), n):
+                fresh = {x: s for x, s in zip(map(name_of, sets), sets, strict=True) if len(s) and x not in met_before}
+                if len(met_before) < MET:
+                    met_before.update(fresh)
+                if not fresh:
+                    continue
+                sets = list(fresh.values())
+                nodes = np.frombuffer(b"".join(x[:8] for x in fresh), ">i8")
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                every = np.concatenate(sets)
+                of = np.repeat(np.arange(len(sets)), size)
+                met = cells[every >> np.uint64(44)]
+                order = np.lexsort((met, of))  # stable, and sets are sorted
+                at = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+                most = size + num * size // -den + 1
+                kept = order[(at < most[of]) & (met[order] > 1)]  # met once: in no other document
+                place = np.empty(len(every), np.int64)
+                place[order] = at
+                yield from packer.add(every[kept], nodes[of[kept]], size[of[kept]], place[kept])
+        yield from packer.flush()
+
+    return arrow(docs, rows, "bucket int, block binary")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -144,22 +167,30 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     Documents link when den * intersection >= num * union of their sets of word n-grams; a component is the smallest id
     reachable by links. Null, empty and wordless texts have no n-grams and link with nothing. Rows with one
-    id are one document, which links by any of its texts; rows without an id are in no component.
-    Documents of equal sets are compared once for all.
+    id are one document, which links by any of its texts; rows without an id are in no component. Ids may be of any type with an order.
+    Texts of equal sets are one node, compared once for all, whatever their ids. Other columns are left out.
     """
-    plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     seen = stored(measured(plain, n))
-    sized = seen.where("slice is null").select("doc_id", "n", "print")
-    equal = stored(sized.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("print", "first"))
-    copies = stored(join_small(sized.where("n > 0"), equal, "print").where("doc_id <> first").select("doc_id", "first"))
+    sized = seen.where("slice is null").select("doc_id", "n", "name")
+    known = sized.where("name is not null and doc_id is not null")
+    classes = stored(known.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("rows")))
     cells = _cells(seen.where("slice is not null").select("slice", "counts"))
-    own = join_small(plain.where("doc_id is not null"), copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    candidates = stored(connected(bucket_edges(prefixes(own, n, num, den, cells), num, den)))
-    weight = sized.where("doc_id is not null").groupBy("doc_id").agg((F.max("n") * 8).alias("weight"))
-    spread = stored(blocks(weight.join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id").withColumnRenamed("doc_id", "node")))
-    members = join_small(own.withColumnRenamed("doc_id", "node"), spread, "node")
-    links = verified(members, sets_of(n), num, den)
-    # A copy is linked to the first of its set.
-    whole = stored(connected(links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))))
-    found = join_small(sized, whole.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    entries = classes.agg(F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1"))).first()[0] or 0
+    own = plain.where("doc_id is not null").select("text")
+    candidates = stored(connected(bucket_edges(prefixes(own, n, num, den, cells, buckets_for(int(entries))), num, den)))
+    # From here on a set goes by its whole name.
+    half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("node")
+    near = stored(join_small(classes.select("name", "first", "n", half), candidates, "node").select("name", "first", F.col("component").alias("comp"), (F.col("n") * 8).alias("weight")))
+    spread = blocks(near.select(F.col("name").alias("node"), "comp", "weight"))
+    texts = join_small(plain.withColumnRenamed("doc_id", "first"), near.select("first", F.col("name").alias("node")), "first")
+    links = verified(texts.join(spread, "node"), sets_of(n), num, den)
+    # The texts of one document.
+    several = known.groupBy("doc_id").agg(F.min("name").alias("u"), F.max("name").alias("v")).where("u <> v").select("doc_id", "u")
+    several = join_small(known, stored(several), "doc_id").where("name <> u").select("u", F.col("name").alias("v")).distinct()
+    whole = stored(connected(links.unionByName(several)).toDF("name", "comp"))
+    least = join_small(classes, whole, "name").groupBy("comp").agg(F.min("first").alias("component_id"))
+    joined = whole.join(least, "comp").select("name", "component_id")
+    copied = classes.where("rows > 1").select("name", "first").join(whole.select("name"), "name", "left_anti").toDF("name", "component_id")
+    found = join_small(sized, stored(joined.unionByName(copied)), "name", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

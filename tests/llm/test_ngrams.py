@@ -97,11 +97,72 @@ def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_rest_of_a_large_bucket(spark):
-    from tessera.llm.components import bucket_edges
-
-    # 20 rows are left when the task has linked 150,000; by their places alone no two of them would be candidates
-    rows = spark.range(150_020).selectExpr("1L as key", "id as node", "10L as n", "9L as at")
-    found = bucket_edges(rows, 90, 100)
-    assert found.select("u").distinct().count() >= 150_019 and found.select("v").distinct().collect()[0].v == 0
-    assert found.where("u >= 150000 and v = 0").count() == 20
+def packed(rows, sized, buckets=3):
+    def pack(batches):
+        packer = C.Packer(buckets, sized)
+        for b in batches:
+            yield from packer.add(*(b.column(k).to_numpy() for k in range(b.num_columns)))
+        yield from packer.flush()
+
+    return rows.mapInArrow(pack, "bucket int, block binary")
+
+
+def test_rest_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(C, "PACK_BYTES", 1 << 16)
+    # the entries come in parts of which the last has 20 or so; by their places alone no two of them would be candidates
+    rows = spark.range(0, 1_200_020, 1, 1).selectExpr("1L as key", "id as node", "10L as n", "9L as at")
+    found = C.bucket_edges(packed(rows, True), 90, 100)
+    assert found.select("u").distinct().count() == 1_200_019 and found.select("v").distinct().collect()[0].v == 0
+
+
+def test_buckets_of_all_sizes(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(60) << 57, rng.randrange(400), n := rng.randint(5, 40), rng.randrange(n)) for _ in range(3000)]
+    rows = [(k, v, 10 + v % 30, at % 10) for k, v, _, at in rows if k % (7 << 57) or rng.random() < 0.1]
+    want = {}
+
+    def find(up, a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    by_key = {}
+    for k, v, n, at in rows:
+        by_key.setdefault(k, []).append((n, v, at))
+    for sized in (False, True):
+        want = {}
+        for group in by_key.values():
+            if sized and len(group) > C.PAIRED:
+                continue
+            for n, v, at in group:
+                for m, w, to in group:
+                    if v != w and (not sized or (min(n, m) * 100 >= 80 * max(n, m) and 1 + min(n - at, m - to) - 1 >= -(-80 * (n + m) // 180))):
+                        want[max(find(want, v), find(want, w))] = min(find(want, v), find(want, w))
+        frame = spark.createDataFrame(rows, "key long, node long, n long, at long").repartition(4)
+        edges = C.bucket_edges(packed(frame if sized else frame.select("key", "node"), sized), *(80, 100) if sized else ()).collect()
+        got = {}
+        for u, v in edges:
+            got[max(find(got, u), find(got, v))] = min(find(got, u), find(got, v))
+        for v in range(400):  # what must be together is together
+            assert find(got, find(want, v)) == find(got, v)
+        if not sized:
+            assert len({find(got, v) for v in range(400)}) == len({find(want, v) for v in range(400)})
+
+
+def test_ids_that_come_twice(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join([*words[:50], "x", *words[51:]])
+    near_a = " ".join([*words[:59], "y"])
+    rows = [(9, a), (9, "quite another text of some words"), (5, near_a), (12, "quite another text of some words"), (30, b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in N.near_duplicates(frame).collect()), key=repr) == brute(rows, 3, 90, 100)
+    assert {r.component_id for r in N.near_duplicates(frame).collect() if r.doc_id in (5, 9, 12)} == {5}
+
+
+def test_words_whose_sums_collide_modulo_a_power_of_two(spark):
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in N.near_duplicates(frame).collect()} == {(1, 1), (2, 2), (3, 1)}
