@@ -15,7 +15,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Powers are kept for the next call up to so many.
-KEPT = 1 << 20
+KEPT = 1 << 23
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 

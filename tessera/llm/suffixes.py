@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from tessera.llm.hashing import between, mix, prefix, windows
 
 LENGTH, GRAM = 400, 100
 #: Bytes hashed at once; bytes and pieces that a task sorts at once. An anchor with more pieces goes window by window instead.
-CHUNK, SORT_BYTES, SORT_PIECES = 1 << 17, 1 << 20, 20_000
+CHUNK, SORT_BYTES, SORT_PIECES = 1 << 17, 1 << 19, 20_000
 #: Entries up to which the finds are broadcast to the documents.
 FEW = 2_000_000
 #: Bits of a piece's hash that name it; what has the same name is told apart by its bytes.
@@ -254,8 +255,13 @@ def _sorted(classes: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def out():
-            runs = repeated_windows([r[5] for r in held], np.array([r[4] for r in held], np.int64), length)
-            rows = [(*r[:3], a, b) for r, found in zip(held, runs, strict=True) for a, b in ([(0, len(r[5]) - length)] if r[3] > 1 else found)]
+            rows = [(*r[:3], 0, len(r[5]) - length) for r in held if r[3] > 1]
+            several = Counter(r[0] for r in held)
+            open_ = {r[0] for r in held if r[3] == 1 and several[r[0]] > 1}
+            sort = [r for r in held if r[0] in open_]
+            if sort:
+                runs = repeated_windows([r[5] for r in sort], np.array([r[4] for r in sort], np.int64), length)
+                rows += [(*r[:3], a, b) for r, found in zip(sort, runs, strict=True) if r[3] == 1 for a, b in found]
             if rows:
                 return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "name", "id", "first", "last"])
 
