@@ -50,12 +50,20 @@ def arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFr
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         yield from function(batches)
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def keep_freed() -> None:
+    """Within a task, arrays of a few MB come from memory that is there: mapping it anew costs more than most sums over it."""
+    if (option := getattr(ctypes.CDLL(None), "mallopt", None)) is not None:
+        option(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        option(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def give_back() -> None:
     """Returns what a task has freed to the system: workers are kept for later tasks, and so is what their allocators hold."""
     pa.default_memory_pool().release_unused()

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
-from tessera.llm.hashing import between, mix, prefix, windows
+from tessera.llm.hashing import between, mix, prefix, quick_between, quick_prefix, quick_windows
 
 LENGTH, GRAM = 400, 100
 #: Bytes hashed at once; bytes and pieces that a task sorts at once. An anchor with more pieces goes window by window instead.
-CHUNK, SORT_BYTES, SORT_PIECES = 1 << 17, 1 << 19, 20_000
+CHUNK, SORT_BYTES, SORT_PIECES = 1 << 16, 1 << 19, 20_000
 #: Entries up to which the finds are broadcast to the documents.
 FEW = 2_000_000
 #: Bits of a piece's hash that name it; what has the same name is told apart by its bytes.
@@ -53,15 +53,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     total = int(many.sum())
     if not total:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    sums = prefix(data)
-    h = windows(sums, gram)
+    sums = quick_prefix(data)
+    h = quick_windows(sums, gram)
     row = np.repeat(np.arange(len(size)), many)
     start = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + offsets[:-1][row]
     anchor = sliding_argmin(h, length - gram + 1)[start]
     head = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(row) != 0)])
     tail = np.r_[head[1:], total] - 1
     row, first, last, anchor = row[head], start[head], start[tail], anchor[head]
-    whole = mix(between(sums, first, last + length) + ((last - first) * 1024 + (anchor - first)).astype(np.uint64) * _STEP)
+    whole = mix(quick_between(sums, first, last + length) + ((last - first) * 1024 + (anchor - first)).astype(np.uint64) * _STEP)
     base = offsets[:-1][row]
     return row, first - base, last - base, anchor - base, h[anchor], whole
 
@@ -96,14 +96,20 @@ def common_extension(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.nd
     return low
 
 
-def suffix_order(data: np.ndarray, sums: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, sums: np.ndarray, at: np.ndarray, end: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes data[at:end], and the common extension of each with the one before it.
 
     A bottom-up mergesort in which all merges of a level advance together: each element finds its place in the other run by binary
-    search, and each comparison finds the first differing byte by another one over prefix hashes.
+    search, and each comparison finds the first differing byte by another one over prefix hashes. With ``group``, ascending numbers,
+    each group is sorted by itself, and its first suffix extends nothing.
     """
     n = len(at)
     order = np.arange(n)
+    group = np.zeros(n, np.int64) if group is None else group
+    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else order
+    size = np.diff(np.r_[head, n])
+    begin, size = np.repeat(head, size), np.repeat(size, size)
+    place = np.arange(n) - begin
 
     def below(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as suffix x is smaller than, equal to or greater than suffix y."""
@@ -114,44 +120,49 @@ def suffix_order(data: np.ndarray, sums: np.ndarray, at: np.ndarray, end: np.nda
         return np.where(inside, np.sign(data[p].astype(np.int16) - data[q]), np.sign((end[x] - at[x]) - (end[y] - at[y])))
 
     width = 1
-    while width < n:
-        run = np.arange(n) // width
+    while width < size.max(initial=0):
+        run = place // width
         left = run % 2 == 0
-        other = np.minimum(np.where(left, run + 1, run - 1) * width, n)
-        low, high = other.copy(), np.minimum(other + width, n)
-        low = np.minimum(low, high)
+        other = begin + np.minimum(np.where(left, run + 1, run - 1) * width, size)
+        low, high = other.copy(), np.minimum(other + width, begin + size)
         while len(todo := np.flatnonzero(low < high)):
             middle = (low[todo] + high[todo]) >> 1
             c = below(order[todo], order[middle])
             up = (c > 0) | ((c == 0) & ~left[todo])  # equal ones of the left run come first
             low[todo] = np.where(up, middle + 1, low[todo])
             high[todo] = np.where(up, high[todo], middle)
-        place = np.arange(n) - run * width + low - other + (run - run % 2) * width
         merged = np.empty(n, np.int64)
-        merged[place] = order
+        merged[begin + place - run * width + low - other + (run - run % 2) * width] = order
         order = merged
         width *= 2
     x, y = order[1:], order[:-1]
-    same = common_extension(sums, at[x], at[y], np.minimum(end[x] - at[x], end[y] - at[y]))
+    inside = group[1:] == group[:-1]
+    same = np.where(inside, common_extension(sums, at[x], at[y], np.minimum(end[x] - at[x], end[y] - at[y])), 0)
     raw = data.tobytes()
-    suffixes = [raw[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-    if not all(suffixes[p][:n] == suffixes[q][:n] and suffixes[q][n:] >= suffixes[p][n:] and suffixes[q][n : n + 1] != (suffixes[p][n : n + 1] or None) for p, q, n in zip(y.tolist(), x.tolist(), same.tolist(), strict=True)):
-        order = np.array(sorted(range(n), key=suffixes.__getitem__), np.int64)  # hashes collided: by the bytes alone
-        same = np.array([len(os.path.commonprefix([suffixes[p], suffixes[q]])) for p, q in zip(order[:-1], order[1:], strict=True)], np.int64)
-    return order, np.r_[0, same]
-
-
-def repeated_windows(texts: list[bytes], anchors: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    suffix = lambda k: raw[at[k] : end[k]]
+    for k in np.flatnonzero(inside).tolist():
+        p, q, length = suffix(order[k]), suffix(order[k + 1]), int(same[k])
+        if p[:length] != q[:length] or p[length:] > q[length:] or (p[length : length + 1] or None) == q[length : length + 1]:
+            break
+    else:
+        return order, np.r_[0, same]
+    # Hashes collided: by the bytes alone.
+    order = np.array(sorted(range(n), key=lambda k: (group[k], suffix(k))), np.int64)
+    same = np.array([len(os.path.commonprefix([suffix(p), suffix(q)])) for p, q in zip(order[:-1], order[1:], strict=True)], np.int64)
+    return order, np.r_[0, np.where(inside, same, 0)]
+
+
+def repeated_windows(texts: list[bytes], anchors: np.ndarray, length: int = LENGTH, group: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
     """For each piece, the runs (first, last) of window starts that start a string found elsewhere among the pieces.
 
-    A piece is the bytes of all its windows, ``anchors`` the place of its anchor in it. Pieces differ from each other, but for their anchors' places.
+    A piece is the bytes of all its windows, ``anchors`` the place of its anchor in it, ``group`` (ascending) tells which share an anchor.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     base = np.cumsum(size) - size
     sums = prefix(data)
     at = base + anchors
-    order, lcp = suffix_order(data, sums, at, np.minimum(base + size, at + length))
+    order, lcp = suffix_order(data, sums, at, np.minimum(base + size, at + length), group)
     reach = np.zeros(len(texts), np.int64)
     reach[order] = np.maximum(lcp, np.r_[lcp[1:], 0])
     # A window from start s reaches length - (anchor - s) bytes beyond the anchor.
@@ -217,22 +228,18 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "name", "doc", "key", "first", "anchor", "piece"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            held = 0
-            for k in range(batch.num_rows):
-                doc, key, text, at = (batch.column(c)[k].as_py() for c in ("doc", "key", "text", "at"))
-                raw = text.encode("utf-8")
-                for p in at:
-                    for column, x in zip(out, (p["gram"], p["name"], doc, key, p["first"], p["anchor"] - p["first"], raw[p["first"] : p["last"] + length]), strict=True):
-                        column.append(x)
-                    held += len(out[-1][-1])
-                    if held > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
-                        out, held = [[] for _ in names], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+            lists = batch.column(3)
+            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            parts = lists.flatten()
+            gram, name, first, last, anchor = (parts.field(c).to_numpy() for c in ("gram", "name", "first", "last", "anchor"))
+            raw = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
+            ids = [batch.column(k).to_numpy()[of] for k in range(2)]
+            bounds = np.r_[0, np.cumsum(last.astype(np.int64) + length - first)]
+            for a, b in chunks(bounds, 1 << 20):
+                piece = [raw[k][p:q] for k, p, q in zip(of[a:b].tolist(), first[a:b].tolist(), (last[a:b] + length).tolist(), strict=True)]
+                columns = (gram, name, *ids, first, anchor - first)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b]) for x in columns), pa.array(piece, pa.binary())], names=names)
 
     return arrow(docs.select("doc", "key", "text", "at"), cut, "gram long, name long, doc long, key long, first int, anchor int, piece binary")
 
@@ -260,7 +267,8 @@ def _sorted(classes: DataFrame, length: int) -> DataFrame:
             open_ = {r[0] for r in held if r[3] == 1 and several[r[0]] > 1}
             sort = [r for r in held if r[0] in open_]
             if sort:
-                runs = repeated_windows([r[5] for r in sort], np.array([r[4] for r in sort], np.int64), length)
+                group = np.cumsum([0, *(a[0] != b[0] for a, b in zip(sort, sort[1:], strict=False))])
+                runs = repeated_windows([r[5] for r in sort], np.array([r[4] for r in sort], np.int64), length, group)
                 rows += [(*r[:3], a, b) for r, found in zip(sort, runs, strict=True) if r[3] == 1 for a, b in found]
             if rows:
                 return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "name", "id", "first", "last"])
@@ -326,20 +334,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_merged(sorted((r["first"], r["last"]) for r in rows)) for rows in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"first": a, "last": b} for a, b in r] for r in out], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["doc", "key", "runs"])
+            of, first, last = merged(batch.column(2))
+            offsets = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            runs = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["first", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)], names=["doc", "key", "runs"])
 
     return arrow(each, merge, "doc long, key long, runs array<struct<first: int, last: int>>")
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in runs:
-        if out and a <= out[-1][1] + 1:
-            out[-1] = out[-1][0], max(out[-1][1], b)
-        else:
-            out.append((a, b))
-    return out
+def merged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs (first, last) of each list with those that touch made one: list, first, last, in order."""
+    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    runs = lists.flatten()
+    first, last = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+    order = np.lexsort((first, of))
+    of, first, last = of[order], first[order], last[order]
+    far = np.maximum.accumulate((of << 32) + last)  # the end of all runs so far of the same list
+    head = np.flatnonzero(np.r_[True, (of << 32)[1:] + first[1:] > far[:-1] + 1]) if len(of) else order
+    return of[head], first[head], far[np.r_[head[1:], len(of)] - 1] - (of[head] << 32) if len(of) else last
 
 
 def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

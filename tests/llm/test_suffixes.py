@@ -97,3 +97,25 @@ def test_order_where_hashes_collide(monkeypatch):
     start = np.cumsum(size) - size
     order, lcp = S.suffix_order(data, prefix(data), start, start + size)
     assert [texts[k] for k in order] == sorted(texts) and lcp.tolist() == [0, 2, 3, 2, 0]
+
+
+def test_groups_are_sorted_by_themselves():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    group = np.sort(np.array([rng.choice([0, 3, 4, 5, 5, 5, 8]) for _ in texts]))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size) - size
+    order, lcp = S.suffix_order(data, prefix(data), start, start + size, group)
+    assert [(group[k], texts[k]) for k in order] == sorted(zip(group, texts, strict=True))
+    assert all(lcp[k] == 0 for k in range(len(order)) if k == 0 or group[order[k]] != group[order[k - 1]])
+
+
+def test_merged_runs():
+    import pyarrow as pa
+
+    lists = [[(3, 5), (6, 9), (20, 20)], [], [(1, 100), (4, 5), (101, 102), (104, 104)], [(0, 0)]]
+    column = pa.array([[{"first": a, "last": b} for a, b in reversed(x)] for x in lists], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+    want = [(0, 3, 9), (0, 20, 20), (2, 1, 102), (2, 104, 104), (3, 0, 0)]
+    assert list(zip(*(x.tolist() for x in S.merged(column)), strict=True)) == want
+    assert all(len(x) == 0 for x in S.merged(column.slice(1, 1)))
