@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text
 
     ``n_hit`` counts the words inside occurrences of windows, ``items`` lists the items whose windows
     occur, ``spans`` the hit runs as code point ranges of the original text. Null and empty texts have
-    no words. Items without words, or without an id, are left out; rows with the same id count as one item.
+    no words. Items without words, or without an id, are left out; rows with the same id count as one item. Ids of documents may be of any type.
     The items are gathered on the driver ``max_windows`` windows at a time, one scan of the texts for each.
     """
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator()
@@ -129,21 +129,22 @@ def _scan(left: DataFrame, found: dict, keep: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for batch in batches:
-            rows = batch.to_pydict()
-            out: list[list] = [[], [], [], [], []]
-            for key, text, old, had in zip(rows["id"], rows["text"], rows["runs"], rows["items"], strict=True):
+            ids, rows = batch.column("id"), batch.select(["text", "runs", "items"]).to_pydict()
+            out: list[list] = [[], [], [], []]
+            for text, old, had in zip(rows["text"], rows["runs"], rows["items"], strict=True):
                 n, runs, items = scanner.scan(text)
                 runs = _merged([*runs, *([a, b] for a, b in zip(old[::2], old[1::2], strict=True))])
-                for column, x in zip(out, (key, text, n, runs, sorted(items.union(had))), strict=True):
+                for column, x in zip(out, (text, n, runs, sorted(items.union(had))), strict=True):
                     column.append(x)
-            key, texts, n, runs, items = out
+            texts, n, runs, items = out
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(texts, pa.string()), pa.array([[x for r in y for x in r] for y in runs], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "runs", "items"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array([[x for r in y for x in r] for y in runs], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "runs", "items"])
             else:
                 where = [[{"start": s, "end": e, "words": b - a} for (a, b), (s, e) in zip(y, spans(t, y), strict=True)] if y else [] for t, y in zip(texts, runs, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int64())])))], names=["id", "n_words", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int64())])))], names=["id", "n_words", "items", "spans"])
 
-    return arrow(left, scan, "id long, text string, runs array<int>, items array<string>" if keep else "id long, n_words long, items array<string>, spans array<struct<start: int, end: int, words: long>>")
+    kind = left.schema["id"].dataType.simpleString()
+    return arrow(left, scan, f"id {kind}, text string, runs array<int>, items array<string>" if keep else f"id {kind}, n_words long, items array<string>, spans array<struct<start: int, end: int, words: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

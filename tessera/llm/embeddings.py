@@ -97,7 +97,9 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     keyed = keyed.withColumn("h1", F.when(F.col("good"), F.xxhash64("grp", "vector"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(11), F.reverse("vector"), "grp")))
     # Spherical cells and the products need no lengths, so scaling to the largest component avoids overflow.
     scaled = F.transform("vector", lambda x: x / F.array_max(F.transform("vector", F.abs)))
-    reps = stored(keyed.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vector").alias("vector")).withColumn("vector", scaled))
+    # A different vector goes by a number of its own, as ids may come twice.
+    reps = keyed.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vector").alias("vector"))
+    reps = stored(reps.withColumn("vector", scaled).withColumn("rep", F.monotonically_increasing_id()))
     shared = vectors.sparkSession.sparkContext.broadcast(_centres(reps, cell))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +125,13 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     left = each.where("home").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
     right = each.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     found = stored(arrow(left.unionByName(right).select("grp", "cell", "block", "side", "rep", "n", "vector").repartition("grp", "cell", "block").sortWithinPartitions("grp", "cell", "block", "side", "rep"), _compare(cosine), "u long, v long, links long"))
-    comps = connected(found.where("v is not null").select("u", "v"))
+    comps = stored(connected(found.where("v is not null").select("u", "v")).toDF("rep", "comp"))
+    least = join_small(reps.select("rep", "first"), comps, "rep").groupBy("comp").agg(F.min("first").alias("component"))
+    comps = comps.join(least, "comp").select("rep", "component")
     links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    classes = stored(reps.select("h1", "h2", "rep", "n").join(links.withColumnRenamed("u", "rep"), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or links > 0"))
-    out = join_small(keyed.select("vec_id", F.struct("h1", "h2").alias("h")), classes.select(F.struct("h1", "h2").alias("h"), "rep", "n", "links", "component"), "h", "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    classes = stored(reps.select("h1", "h2", "rep", "first", "n").join(links.withColumnRenamed("u", "rep"), "rep", "left").join(comps, "rep", "left").where("n > 1 or links > 0"))
+    out = join_small(keyed.select("vec_id", F.struct("h1", "h2").alias("h")), classes.select(F.struct("h1", "h2").alias("h"), "first", "n", "links", "component"), "h", "left")
+    component = F.coalesce("component", "first", "vec_id")
     return out.select("vec_id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -15,6 +15,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,22 @@ CHUNK = 4 << 20
 SIGNS = ".,!?;:$%&*#|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_tokenizers: dict[str, tuple[Tokenizer, np.ndarray, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple[Tokenizer, np.ndarray, dict[str, bytes], tuple[str, ...]]] = {}
 
 
-def _lower(text: str) -> str:
+def _lower(text: str, added: tuple[str, ...] = ()) -> str:
+    """Latin-1 texts in lower case, unless that would make one of the tokens that are looked for in the text as it is."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text.lower()
+    low = text.lower()
+    return text if any(t in low for t in added) else low
+
+
+def _letters(word: str) -> bool:
+    """Whether the tokenizer, which composes and lowers first, sees letters alone."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
 
 
 class Words:
@@ -62,8 +70,9 @@ class Words:
             vocabulary = tokenizer.get_vocab(with_added_tokens=False)
             ends = np.zeros(max(vocabulary.values()) + 1, bool)
             ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
-            _tokenizers[path] = tokenizer, ends, {"": b""}
-        self.tokenizer, self.ends, self.known = _tokenizers[path]
+            added = tuple(str(t.content).lower() for t in tokenizer.get_added_tokens_decoder().values())
+            _tokenizers[path] = tokenizer, ends, {"": b""}, added
+        self.tokenizer, self.ends, self.known, self.added = _tokenizers[path]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The texts' ids as little-endian unsigned 32-bit numbers."""
@@ -76,7 +85,7 @@ class Words:
         if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
-        split = pc.split_pattern(pa.array([_lower(x).replace("\n", " ") for x in texts], pa.string()), " ")
+        split = pc.split_pattern(pa.array([_lower(x, self.added).replace("\n", " ") for x in texts], pa.string()), " ")
         coded = split.flatten().dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         found = list(map(known.get, words))
@@ -97,9 +106,9 @@ class Words:
     def _learn(self, new: set[str]) -> None:
         known, plain, other, joined = self.known, set(), set(), []
         for w in new:
-            if w.isalpha():
+            if _letters(w):
                 plain.add(w)
-            elif (core := w.rstrip(SIGNS)).isalpha():
+            elif _letters(core := w.rstrip(SIGNS)):
                 joined.append((w, core, w[len(core) :]))
                 if core not in known:
                     plain.add(core)
@@ -129,7 +138,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "
 
     A document is the ids of its text (null: none) and then ``end``; only longer ones than
     ``capacity`` are cut, into pieces of that length, the last of which may be shorter. ``tokenizer`` is the
-    path of a file that every machine has.
+    path of a file that every machine has. Equal rows, rows with one id and rows without an id are documents of their own; other columns are
+    left out, whatever their names.
     """
     tail = np.array([end], dtype="<u4").tobytes()
 

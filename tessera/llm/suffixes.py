@@ -245,10 +245,9 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """Bytes of the pieces at ``places``, rows of _find()."""
-    listed = stored(places.groupBy("doc", "key").agg(F.collect_set(F.struct("gram", "name", "first", "last", "anchor")).alias("at")))
-    entries = listed.agg(F.sum(F.size("at"))).first()[0] or 0
-    return _cut(_join(docs, listed, entries, "inner"), length)
+    """Bytes of the pieces at ``places``, rows of _find(). The texts are shuffled once, at any size: the places are too many to broadcast."""
+    listed = places.groupBy("doc", "key").agg(F.collect_set(F.struct("gram", "name", "first", "last", "anchor")).alias("at"))
+    return _cut(docs.hint("merge").join(listed, ["doc", "key"]), length)
 
 
 def _sorted(classes: DataFrame, length: int) -> DataFrame:

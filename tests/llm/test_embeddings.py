@@ -63,6 +63,13 @@ def test_visits_lose_no_pair():
         assert near[j, home[i]] and near[i, home[j]]
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [1.0, 0.01], 1), (7, [0.0, 1.0], 1), (9, [0.0, 2.0], 1), (3, [0.01, 1.0], 1)]
+    found = sorted((tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
+    assert found == brute(rows)
+    assert found == [(3, 2, 3, True), (7, 1, 7, True), (7, 1, 7, True), (7, 2, 3, False), (9, 2, 3, False)]
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)]
     found = sorted(tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())

@@ -53,6 +53,17 @@ def test_words_are_the_tokenizer(data):
     assert words.ids(texts) == want and words.ids(texts) == want
 
 
+def test_random_unicode():
+    rng = random.Random(7)
+    letters = ["a", "Z", "İ", "ı", "Σ", "ς", "ß", "ẞ", "é", "É", "e\u0301", "\u0301", "\u0958", "ﬁ", "日", "ж", "٣", "5", "½", "\u200d", "'s", "'T", "<|endoftext|>", "<|ENDOFTEXT|>", "\u00a0", "\t", "\u0338", "=", "\ufb1d", "Ω", "K"]
+    texts = ["".join(rng.choice(letters if rng.random() < 0.7 else [*P.SIGNS, " ", "\n", "-", "("]) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    texts += [w + t for w in ("DENİZLİ", "MERSİ", "İ", "क\u0958", "<|ENDOFTEXT|>", "ABC <|EndOfText|>") for t in ("", ", x", "! ok", *P.SIGNS)]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words = P.Words(tokenizer_path())
+    assert [t for t, a, b in zip(texts, words.ids(texts), want, strict=True) if a != b] == []
+
+
 def test_round_trip(spark):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(["the", "of", "Zebra", "12"]) for _ in range(rng.choice([0, 1, 5, 300, 4095, 4096, 9000])))) for k in range(60)]
