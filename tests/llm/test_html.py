@@ -54,6 +54,68 @@ def test_class_words_that_mark_no_sidebar(spark):
     assert found == ["T A text that goes on for a while, and then some more of it."] * 6
 
 
+def test_common_sequences(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    for cells in (4 << 20, 6):
+        monkeypatch.setattr(H, "CELLS", cells)
+        for _ in range(300):
+            x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i, a in enumerate(x):
+                for j, b in enumerate(y):
+                    table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+            pairs = H.common(x, y)
+            assert len(pairs) == table[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_trees_as_text():
+    for html in (PAGE, "", "x", "<div>a<p>b</div>c" * 3):
+        assert H.loaded(H.dumped(H.tree(html))) == H.tree(html)
+
+
+def site(rng, article, blocks, beside):
+    """A page of a made-up site: its html and the text that should come out."""
+    inner, text = "", []
+    for name, n in blocks:
+        words = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+        inner += f"<{name}>{words}</{name}>"
+        text.append(words)
+    for k, extra in enumerate(beside):
+        inner = extra + inner if k % 2 else inner + extra
+    return f"<html><body><header>Site</header><nav><ul><li>A<li>B</ul></nav>{article.format(inner)}<footer>F</footer></body></html>", " ".join(text)
+
+
+def test_generated_sites(spark):
+    import random
+
+    rng = random.Random(11)
+    frames = ["<article>{}</article>", "<div class='wrap has-sidebar'><article>{}</article><div class='sidebar'>S</div></div>", "<main><div>{}</div></main>", "<div class='entry-content'>{}</div><div class='related'>R</div>", "<div id='story'>{}</div><div class='comments'><p>c</p></div>", "<div>" * 1200 + "{}" + "</div>" * 1200]
+    extras = ["<aside>x</aside>", "<form><p>q</p></form>", "<div class='share'>x</div>", "<script>var a='<p>';</script>"]
+    rows, want = [], {}
+    for host in range(12):
+        frame = rng.choice(frames) if host else frames[-1]
+        for _ in range(rng.randint(1, 8)):
+            blocks = [("h1", 5)] + [(rng.choice(["p", "p", "h2", "blockquote", "pre"]), rng.randint(8, 40)) for _ in range(rng.randint(1, 12))]
+            html, text = site(rng, frame if rng.random() < 0.8 or not host else rng.choice(frames[:3]), blocks, rng.sample(extras, rng.randint(0, 3)))
+            rows.append((len(rows), f"http://h{host}.example/", html))
+            want[len(want)] = text
+    found = {r.page_id: r.text for r in H.extract(pages(spark, rows).repartition(3)).collect()}
+    assert found == want
+
+
+def test_deep_and_long_pages(spark):
+    rows = [
+        (0, "http://a.x/", "<div>" * 5000 + "deep" + "</div>" * 5000), (1, "http://a.x/", "".join(f"<x{k % 7}>t{k} " for k in range(20_000))), (2, "http://b.x/", "<article>" + "<section><p>a" * 3000),
+        (3, "http://c.x/", "<article>" + "".join(f"<h2>t{k}</h2><p>b{k}</p>" for k in range(4000)) + "</article>"), (4, "http://c.x/", "<article>" + "".join(f"<p>b{k}</p><ul><li>l</ul>" for k in range(3000)) + "</article>"),
+    ]
+    found = {r.page_id: r.text for r in H.extract(pages(spark, rows)).collect()}
+    assert found[0] == "deep" and found[1] == " ".join(f"t{k}" for k in range(20_000)) and found[2] == " ".join("a" * 3000)
+    assert found[3] == " ".join(f"t{k} b{k}" for k in range(4000)) and found[4] == " ".join(f"b{k} l" for k in range(3000))
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "u", None), (2, None, ""), (3, "http://a.b", "plain text, 1 < 2 & more"), (4, "http://a.b", "<p>unclosed <b>bold<p>next"), (5, "http://a.c", "<<<>>> &am &#x41; <p"),
