@@ -44,14 +44,22 @@ def similar_names(names: DataFrame, column: str, top: int = 200, least: float =
     return pairs.withColumn("similarity", codes.on_pairs(codes.sequence_ratio)(F.col("name"), F.col("similar"))).where(F.col("similarity") > least).select("name", "similar", "similarity")
 
 
-def name_groups(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``name, group``: connected names under the smallest of them, by minimum labels until none changes."""
-    both = stored(edges.select("name", "similar").unionByName(edges.select(F.col("similar").alias("name"), F.col("name").alias("similar"))).distinct())
+def name_groups(edges: DataFrame) -> DataFrame:
+    """``name, group``: connected names under the smallest of them.
+
+    In each round every group takes the smallest name that an edge leads to from it, and chains of groups are shortened by doubling,
+    until no edge leaves a group: the rounds grow with the logarithm of the longest chain.
+    """
+    both = stored(edges.select("name", "similar").unionByName(edges.select(F.col("similar").alias("name"), F.col("name").alias("similar"))).where("name is not null and similar is not null").distinct())
     labels = both.select("name").distinct().withColumn("group", F.col("name"))
-    for _ in range(rounds):
-        least = both.join(labels.withColumnRenamed("name", "similar"), "similar").groupBy("name").agg(F.min("group").alias("_g"))
-        step = stored(labels.join(least, "name", "left").select("name", F.least("group", F.coalesce("_g", "group")).alias("group"), (F.col("_g") < F.col("group")).alias("_moved")))
-        labels = step.select("name", "group")
-        if step.where("_moved").isEmpty():
-            break
-    return labels
+    while True:
+        ends = both.join(labels, "name").join(labels.select(F.col("name").alias("similar"), F.col("group").alias("_other")), "similar")
+        hooks = stored(ends.where("_other < group").groupBy("group").agg(F.min("_other").alias("_to")))
+        if hooks.isEmpty():
+            return labels
+        while True:
+            step = stored(hooks.join(hooks.select(F.col("group").alias("_to"), F.col("_to").alias("_next")), "_to", "left").select("group", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")))
+            hooks = step.select("group", "_to")
+            if step.where("_moved").isEmpty():
+                break
+        labels = stored(labels.join(hooks, "group", "left").select("name", F.coalesce("_to", "group").alias("group")))

@@ -71,18 +71,31 @@ def positives(rows: DataFrame, key: str, street: str, number: str, city: str, po
     return rows.select(k.alias("pair_id"), line(s, n, ci, p).alias("address_1"), attacked.alias("address_2"), F.lit(1).alias("label")).where("address_1 <> address_2")
 
 
-def hard_negatives(rows: DataFrame, block: str, text: str, score: Callable[[Column, Column], Column], low: float, high: float, least_rows: int = 1) -> DataFrame:
-    """Within each block of more than ``least_rows`` rows, each text's most similar other one, if low <= score < high; ties by text.
+#: Bits of the hash that order a split's rows into ranges.
+BUCKET_BITS = 12
+#: Texts of a block that one row is compared with at a time.
+CHUNK = 256
 
-    Blocks are joined on their key; within one, texts meet that share a word, so a block costs no more than its words' lists.
+
+def hard_negatives(rows: DataFrame, block: str, text: str, score: Callable[[Column, Column], Column], low: float, high: float, least_rows: int = 1, by_row: bool = False) -> DataFrame:
+    """Within each block of more than ``least_rows`` rows, each text's most similar other one, if low <= its score < high; ties by text.
+
+    The best of all others is asked for, so each text meets all texts of its block, but in chunks that are reduced in place: a text makes a row for each
+    CHUNK of them, not for each. ``by_row``: ``score`` can't stand in a lambda (a Python function); chunks are then unfolded for it
+    and reduced before the shuffle.
     """
-    sizes = rows.groupBy(block).agg(F.count("*").alias("_rows"), F.count_distinct(text).alias("_texts")).where((F.col("_rows") > least_rows) & (F.col("_texts") > 1)).select(block)
-    texts = rows.select(block, F.col(text).alias("a")).where("a is not null").distinct().join(sizes, block, "left_semi")
-    words = texts.select(block, "a", F.explode(F.array_distinct(F.split(F.lower("a"), " "))).alias("_w")).where("_w <> ''")
-    pairs = words.join(words.withColumnRenamed("a", "b"), [block, "_w"]).where("a <> b").select(block, "a", "b").distinct()
-    scored = pairs.withColumn("score", score(F.col("a"), F.col("b"))).where((F.col("score") >= low) & (F.col("score") < high))
-    rank = F.row_number().over(Window.partitionBy(block, "a").orderBy(F.desc("score"), "b"))
-    return scored.withColumn("_rank", rank).where("_rank = 1").select(block, F.col("a").alias("left"), F.col("b").alias("right"), "score")
+    sizes = rows.groupBy(block).agg(F.count("*").alias("_rows"), F.count_distinct(text).alias("_texts")).where((F.col("_rows") > least_rows) & (F.col("_texts") > 1)).select(block, F.ceil(F.col("_texts") / CHUNK).alias("_chunks"))
+    texts = rows.select(block, F.col(text).alias("a")).where("a is not null").distinct().join(sizes, block)
+    chunks = texts.groupBy(block, F.pmod(F.xxhash64("a"), F.col("_chunks")).alias("_chunk")).agg(F.collect_list("a").alias("_b")).select(block, "_b")
+    met = texts.select(block, "a").join(chunks, block)
+    best = lambda s, b: F.struct((-s).alias("s"), b.alias("b"))
+    if by_row:
+        each = met.select(block, "a", F.explode("_b").alias("b")).where("a <> b").select(block, "a", best(score(F.col("a"), F.col("b")), F.col("b")).alias("_best"))
+    else:
+        others = F.filter("_b", lambda b: b != F.col("a"))
+        each = met.select(block, "a", F.array_min(F.transform(others, lambda b: best(score(F.col("a"), b), b))).alias("_best"))
+    first = each.groupBy(block, "a").agg(F.min("_best").alias("_best")).select(block, F.col("a").alias("left"), F.col("_best.b").alias("right"), (-F.col("_best.s")).alias("score"))
+    return first.where((F.col("score") >= low) & (F.col("score") < high))
 
 
 def fuzzy_percent(a: Column, b: Column) -> Column:
@@ -111,21 +124,36 @@ def balanced(positive: DataFrame, hard: DataFrame, random: DataFrame, n: int) ->
 
 
 def stratified_split(rows: DataFrame, label: str, *keys: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """``rows`` with ``train``: of each label exactly the share, rounded up, by hash order."""
+    """``rows`` with ``train``: of each label exactly the share, rounded up, by hash order.
+
+    Rows are ranked within BUCKETS ranges of the hash, whose sizes say how many come before; so no label is one task's work.
+    """
     order = F.xxhash64(*keys, F.lit(seed))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order, *keys))
-    total = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    return rows.withColumn("_rank", rank).join(F.broadcast(total), label).withColumn("train", F.col("_rank") <= F.ceil(F.col("_n") * share)).drop("_rank", "_n")
+    each = rows.withColumn("_bucket", F.shiftrightunsigned(order, 64 - BUCKET_BITS).cast("long"))
+    sizes = each.groupBy(label, "_bucket").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    known = sizes.select(F.col(label).alias("_label"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(label)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy(F.shiftrightunsigned(order, 1), order, *keys))
+    ranked = each.withColumn("_rank", rank).join(known, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_b")))
+    return ranked.select(*rows.columns, (F.col("_before") + F.col("_rank") <= F.ceil(F.col("_n") * share)).alias("train"))
 
 
 def jaccard_join(left: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
-    """Pairs of rows whose token sets have that Jaccard similarity: rare tokens first, prefix join, verified once per pair."""
+    """Pairs of rows whose token sets have that Jaccard similarity: rare tokens first, prefix join, verified once per pair.
+
+    Sets are put in order of their tokens' frequency by sorting arrays of (frequency, token), not by ranking rows.
+    """
     sets = left.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("s")).where(F.size("s") > 0)
-    df = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("t")).join(df, "t").withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("df", "t")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("t", "k", "n")
-    other = prefix.select("t", F.col("k").alias("k2"), F.col("n").alias("n2"))
-    pairs = prefix.join(other, "t").where((F.col("k") < F.col("k2")) & (F.least("n", "n2") >= F.lit(least - 1e-9) * F.greatest("n", "n2"))).select("k", "k2").distinct()
-    score = F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))
-    full = pairs.join(sets, "k").join(sets.select(F.col("k").alias("k2"), F.col("s").alias("s2")), "k2")
-    return full.select(F.col("k").alias(f"{key}_1"), F.col("k2").alias(f"{key}_2"), score.alias("similarity")).where(F.col("similarity") >= least)
+    each = sets.select("k", F.explode("s").alias("t"))
+    ordered = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("s"))
+    n = F.size("s")
+    # A token met once is in no other set, but stands in the order all the same; it has no partner in the join.
+    prefix = ordered.select("k", "s", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("at", "t"))
+    other = prefix.select("t", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("s").alias("s2"))
+    need = F.lit(least - 1e-9) / (1 + least) * (F.col("n") + F.col("n2"))
+    met = prefix.join(other, "t").where((F.col("k") < F.col("k2")) & (F.least("n", "n2") >= F.lit(least - 1e-9) * F.greatest("n", "n2")) & (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1 >= need))
+    common = F.array_intersect("s", "s2")
+    # Of the prefix tokens that two sets share, the first one stands for the pair.
+    once = met.where(F.get(common, 0) == F.col("t"))
+    score = F.size(common) / (F.col("n") + F.col("n2") - F.size(common))
+    return once.select(F.col("k").alias(f"{key}_1"), F.col("k2").alias(f"{key}_2"), score.alias("similarity")).where(F.col("similarity") >= least)

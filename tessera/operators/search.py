@@ -1,6 +1,7 @@
 """Ranked search over an inverted index kept as tables: postings, document lengths, field statistics.
 
-Queries come as a DataFrame (query_id, query), so one job answers many: their terms join the postings of those terms only.
+Queries come as a DataFrame (query_id, query), so one job answers many: their terms join the postings of those terms only. How many
+queries there are is not known, so their sides carry no broadcast hints: the optimizer broadcasts what turns out small.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STOP_WORDS, collapse, strip_accents, tokens_of
+from tessera.sources.scratch import stored
 
 K1, B = 1.2, 0.75
 
@@ -22,14 +24,22 @@ def analyze(c: Column, stop: list[str] = STOP_WORDS) -> Column:
 
 
 def postings(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STOP_WORDS) -> DataFrame:
-    """``field, term, key, tf, positions``."""
+    """``field, term, key, tf, positions, dl``: dl is the number of the document's words in the field.
+
+    It travels with each posting, so that scores need no join for it.
+    """
     rows = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyze(F.col(f), stop).alias("words")) for f in fields))).alias("f"))
-    each = rows.select(key, "f.field", F.posexplode("f.words").alias("position", "term"))
-    return each.groupBy("field", "term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    each = rows.select(key, "f.field", F.size("f.words").cast("long").alias("dl"), F.posexplode("f.words").alias("position", "term"))
+    return each.groupBy("field", "term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+
+
+def stored_index(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STOP_WORDS) -> DataFrame:
+    """The postings written once, by field and term, for all the clauses that read them."""
+    return stored(postings(docs, key, fields, stop))
 
 
 def lengths(index: DataFrame, key: str) -> DataFrame:
-    return index.groupBy("field", key).agg(F.sum("tf").alias("dl"))
+    return index.groupBy("field", key).agg(F.first("dl").alias("dl"))
 
 
 def field_stats(docs: DataFrame, index: DataFrame, key: str) -> DataFrame:
@@ -46,15 +56,14 @@ def bm25(queries: DataFrame, index: DataFrame, key: str, boosts: dict[str, float
     """``query_id, key, field, score``: idf = ln(1 + (n - df + 0.5) / (df + 0.5)), times the field's boost."""
     terms = query_terms(queries, stop).select("query_id", "term").distinct()
     mine = index.where(F.col("field").isin(*boosts))
-    dl = lengths(mine, key)
-    stats = dl.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = mine.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    stats = lengths(mine, key).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row for each field
+    wanted = mine.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats), "field").select("field", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     boost = F.element_at(F.create_map(*(x for f, w in boosts.items() for x in (F.lit(f), F.lit(float(w))))), F.col("field"))
     one = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * boost
-    hits = wanted.join(idf, ["field", "term"]).join(dl, ["field", key])
-    return hits.join(F.broadcast(terms), "term").groupBy("query_id", key, "field").agg(F.sum(one).alias("score"))
+    hits = wanted.select("field", "term", key, "tf", "dl").join(idf, ["field", "term"]).select("term", key, "field", one.alias("one"))
+    return hits.join(terms, "term").groupBy("query_id", key, "field").agg(F.sum("one").alias("score"))
 
 
 def best_field(scores: DataFrame, key: str, boost: float = 1.0) -> DataFrame:
@@ -70,11 +79,11 @@ def top_k(scores: DataFrame, key: str, k: int, least: float = 0.0) -> DataFrame:
 def _phrases(terms: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int) -> DataFrame:
     """terms: query_id, at, term; several terms at one place stand for each other."""
     n = terms.groupBy("query_id").agg(F.count_distinct("at").alias("n"))
-    starts = index.where(F.col("field").isin(*fields)).join(F.broadcast(terms), "term").select("query_id", key, "field", "at", F.explode("positions").alias("p"))
+    starts = index.where(F.col("field").isin(*fields)).join(terms, "term").select("query_id", key, "field", "at", F.explode("positions").alias("p"))
     shifted = starts.select("query_id", key, "field", "at", (F.col("p") - F.col("at")).alias("base"))
     if slop:
         shifted = shifted.withColumn("base", F.explode(F.sequence(F.col("base") - slop, F.col("base"))))
-    whole = shifted.groupBy("query_id", key, "field", "base").agg(F.count_distinct("at").alias("met")).join(F.broadcast(n), "query_id")
+    whole = shifted.groupBy("query_id", key, "field", "base").agg(F.count_distinct("at").alias("met")).join(n, "query_id")
     return whole.where("met = n").select("query_id", key, "field").distinct()
 
 
@@ -100,7 +109,7 @@ def fuzzy_terms(queries: DataFrame, index: DataFrame, prefix: int = 2, stop: lis
     terms = query_terms(queries, stop).select("query_id", "term").distinct().withColumn("_p", F.substring("term", 1, prefix))
     close = F.abs(F.length("variant") - F.length("term")) <= edits_allowed(F.col("term"))
     edits = F.levenshtein("term", "variant", 2)
-    return words.join(F.broadcast(terms), "_p").where(close).withColumn("edits", edits).where((F.col("edits") >= 0) & (F.col("edits") <= edits_allowed(F.col("term")))).select("query_id", "term", "variant", "edits")
+    return words.join(terms, "_p").where(close).withColumn("edits", edits).where((F.col("edits") >= 0) & (F.col("edits") <= edits_allowed(F.col("term")))).select("query_id", "term", "variant", "edits")
 
 
 def fuzzy_clause(queries: DataFrame, index: DataFrame, key: str, boosts: dict[str, float], boost: float = 2.0, prefix: int = 2, **options) -> DataFrame:
@@ -114,8 +123,8 @@ def cross_fields_hits(queries: DataFrame, index: DataFrame, key: str, fields: li
     """``query_id, key``: every term is in some field."""
     terms = query_terms(queries, stop).select("query_id", "term").distinct()
     n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    met = index.where(F.col("field").isin(*fields)).join(F.broadcast(terms), "term").groupBy("query_id", key).agg(F.count_distinct("term").alias("met"))
-    return met.join(F.broadcast(n), "query_id").where("met = n").select("query_id", key)
+    met = index.where(F.col("field").isin(*fields)).join(terms, "term").groupBy("query_id", key).agg(F.count_distinct("term").alias("met"))
+    return met.join(n, "query_id").where("met = n").select("query_id", key)
 
 
 def cross_fields_clause(queries: DataFrame, index: DataFrame, key: str, fields: list[str], boost: float = 1.0, **options) -> DataFrame:
@@ -125,7 +134,7 @@ def cross_fields_clause(queries: DataFrame, index: DataFrame, key: str, fields:
 
 def term_clause(queries: DataFrame, docs: DataFrame, key: str, field: str, boost: float = 3.0) -> DataFrame:
     """The whole query equals the field."""
-    return docs.select(key, F.col(field).alias("query")).join(F.broadcast(queries), "query").select("query_id", key, F.lit(float(boost)).alias("score"))
+    return docs.select(key, F.col(field).alias("query")).join(queries, "query").select("query_id", key, F.lit(float(boost)).alias("score"))
 
 
 def should(clauses: list[DataFrame], key: str) -> DataFrame:
@@ -138,7 +147,8 @@ def prefix_terms(queries: DataFrame, index: DataFrame, stop: list[str] = STOP_WO
     """``query_id, term``: all terms that begin as the query's last one."""
     last = queries.select("query_id", F.element_at(analyze(F.col("query"), stop), -1).alias("_l")).where("_l is not null")
     words = index.select("term").distinct()
-    return words.join(F.broadcast(last), words["term"].startswith(last["_l"])).select("query_id", "term")
+    begins = words.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.left("term", n))).alias("_l"))
+    return begins.join(last, "_l").select("query_id", "term")
 
 
 def phrase_prefix_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int = 2, stop: list[str] = STOP_WORDS) -> DataFrame:
@@ -168,8 +178,8 @@ def band(c: Column) -> Column:
 
 
 def lookup(hits: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the hits, which are few (k a query)."""
-    return table.join(F.broadcast(hits), keys)
+    """Rows of the hits."""
+    return table.join(hits, keys)
 
 
 def two_phase(queries: DataFrame, docs: DataFrame, index: DataFrame, key: str, street: str, city: str, full: str, postcode: str, k: int = 10, least: float = 0.1) -> DataFrame:

@@ -60,9 +60,9 @@ def _reach(lon: Column, lat: Column, degrees: float) -> Column:
     return RADIUS * F.least(F.radians(north), F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.greatest(east, F.lit(0.0))))))
 
 
-def z_order(df: DataFrame, lon: str = "lon", lat: str = "lat", bits: int = 16) -> DataFrame:
-    """Rows range-partitioned and sorted by interleaved bits of their place, so that a box touches few files."""
-    unit = lambda c, low, span: F.floor((F.col(c) - low) / span * (2**bits - 1)).cast("long")
+def z_value(lon: Column, lat: Column, bits: int = 16) -> Column:
+    """The interleaved bits of a place on a grid of 2**bits each way."""
+    unit = lambda c, low, span: F.floor((c - low) / span * (2**bits - 1)).cast("long")
 
     def spread(v):
         out = F.lit(0).cast("long")
@@ -70,5 +70,9 @@ def z_order(df: DataFrame, lon: str = "lon", lat: str = "lat", bits: int = 16) -
             out = out.bitwiseOR(F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1).cast("long")), 2 * k))
         return out
 
-    z = spread(unit(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(unit(lat, -90.0, 180.0)), 1))
-    return df.withColumn("_z", z).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
+    return spread(unit(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(unit(lat, -90.0, 180.0)), 1))
+
+
+def z_order(df: DataFrame, lon: str = "lon", lat: str = "lat", bits: int = 16) -> DataFrame:
+    """Rows range-partitioned and sorted by interleaved bits of their place, so that a box touches few files."""
+    return df.withColumn("_z", z_value(F.col(lon), F.col(lat), bits)).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")

@@ -153,9 +153,13 @@ def tests(samples: DataFrame, key: str, arm: str, value: str, base: str, other:
 
 
 def mean_interval(samples: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
-    """Student's interval of the mean; degrees of freedom are few distinct numbers, so their quantiles are a small map."""
+    """Student's interval of the mean. A quantile is found once for each size that groups have, on the executors."""
     each = samples.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n")).where("n > 1")
-    sizes = [r.n for r in each.select("n").distinct().limit(10_000).collect()]
-    quantiles = samples.sparkSession.createDataFrame([(n, t_quantile((1 + level) / 2, n - 1)) for n in sizes], "n long, q double")
-    half = F.coalesce("q", F.lit(1.959963984540054)) * F.col("std") / F.sqrt("n")
-    return each.join(F.broadcast(quantiles), "n", "left").select(*by, "mean", "n", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+    def found(batches):
+        for rows in batches:
+            yield pd.DataFrame({"n": rows["n"], "q": [t_quantile((1 + level) / 2, int(n) - 1) for n in rows["n"]]})
+
+    quantiles = each.select("n").distinct().mapInPandas(found, "n long, q double")
+    half = F.col("q") * F.col("std") / F.sqrt("n")
+    return each.join(quantiles, "n").select(*by, "mean", "n", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))

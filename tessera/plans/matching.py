@@ -311,10 +311,9 @@ def search_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pairs
 
 
-@query("""with w as (select distinct brand, name, unnest(string_split(name, ' ')) as w from (select distinct p_brand as brand, lower(p_name) as name from part)),
-p as (select distinct x.brand, x.name as a, y.name as b from w x join w y on x.brand = y.brand and x.w = y.w and x.name <> y.name),
-s as (select *, round(100 * (1 - cast(levenshtein(a, b) as double) / greatest(length(a), length(b))), 6) as score from p), r as (select *, row_number() over (partition by brand, a order by score desc, b) as k from s where score >= 50 and score < 99)
-select brand, a as "left", b as "right", score from r where k = 1""")
+@query(f"""with {PAIRS}, s as (select *, round(100 * (1 - cast(levenshtein(a, b) as double) / greatest(length(a), length(b))), 6) as score from pr),
+r as (select *, row_number() over (partition by brand, a order by score desc, b) as k from s)
+select brand, a as "left", b as "right", score from r where k = 1 and score >= 50 and score < 99""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.lower("p_name").alias("name"))
     return G.hard_negatives(rows, "brand", "name", lambda a, b: F.round(100 * S.levenshtein(a, b), 6), 50, 99)
@@ -336,7 +335,7 @@ def balanced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(spark, sf_dir).where("street is not null")
     positive = G.positives(rows, "id", "street", "number", "city", "postcode")
     random = G.random_negatives(rows.withColumn("address", F.expr(ADDRESS)), "id", "address")
-    hard = G.hard_negatives(rows, "city", "street", G.fuzzy_percent, 75, 99).select(F.xxhash64("city", "left").alias("pair_id"), F.col("left").alias("address_1"), F.col("right").alias("address_2"), F.lit(0).alias("label"))
+    hard = G.hard_negatives(rows, "city", "street", G.fuzzy_percent, 75, 99, by_row=True).select(F.xxhash64("city", "left").alias("pair_id"), F.col("left").alias("address_1"), F.col("right").alias("address_2"), F.lit(0).alias("label"))
     return G.balanced(positive, hard, random, 100)
 
 
