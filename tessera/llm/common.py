@@ -30,7 +30,7 @@ def scratch(spark: SparkSession) -> str:
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = _own = _own or tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"

@@ -53,5 +53,47 @@ def test_archive_is_a_warc(spark, tmp_path):
     assert found[2][0]["warc-target-uri"] == "http://a/3%0D%0AX: y" and "warc-target-uri" not in found[3][0]
 
 
+def test_records_by_offset_in_many_archives(spark, tmp_path, monkeypatch):
+    import gzip
+    import random
+    import zlib
+
+    # bounds of the driver's process, so the archives are made here
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(W, "MEMBER_BYTES", 300)
+    rng = random.Random(1)
+    pages = [(k, f"http://a/{k}", bytes(rng.randrange(256) for _ in range(rng.choice([0, 10, 299, 5000])))) for k in range(60)]
+    archive, raw = W._Archive(), []
+    for k, u, p in pages:
+        raw.append(W.record(k, u, p, W.base32_sha1(p), len(p)))
+        for batch in archive.add(raw[-1]):
+            raw.append(batch)
+    raw += list(archive.close())
+    files = [x.column(0).buffers()[2].to_pybytes() for x in raw if not isinstance(x, bytes)]
+    records = [x for x in raw if isinstance(x, bytes)]
+    assert len(files) > 10 and all(f[-1] == 0 for f in files)
+    assert b"".join(gzip.decompress(f) for f in files) == b"".join(records)
+    found = [(f, *x) for f in files for x in W.inflated(f)]
+    assert [x for _, _, x in found] == records
+    assert all(next(W.inflated(f[at:]))[1] == x for f, at, x in found)
+    for head, block in W.parse(io.BytesIO(b"".join(records))):
+        assert head["warc-block-digest"] == "sha1:" + W.base32_sha1(block)
+    for size in (1, (1 << 24) - 1):  # what the writer's line separator stands for
+        assert next(W.members(b"x" * min(size, 300)))[-1] == 0
+    monkeypatch.undo()
+    big = W.record(1, "u", b"y" * (1 << 24), "d", 1 << 24)
+    parts = list(W.members(big))
+    assert len(parts) == 2 and all(p[-1] == 0 for p in parts) and list(W.inflated(b"".join(parts)))[0][1] == big
+    assert zlib.decompress(parts[0], 31) == big[: W.MEMBER_BYTES]
+
+
+def test_offsets(spark, tmp_path):
+    path = W.write(spark.createDataFrame(rows(), "page_id long, url string, html string").coalesce(1), str(tmp_path / "o"))
+    content = next(r.content for r in W._files(spark, path).collect())
+    for r in W.read(spark, path).collect():
+        head, _ = next(W.parse(io.BytesIO(next(W.inflated(content[r.offset :]))[1])))
+        assert W._key(head["warc-record-id"]) == r.id
+
+
 def test_empty(spark):
     assert W.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
