@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession, name: str = "table") -> str:
-    """A new path below the shared folder; below a local one only where none is named."""
+    """A new path below the shared folder; where none is named, a local one, but on one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessera-"))
         root = _own[0]
