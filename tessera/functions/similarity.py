@@ -126,11 +126,23 @@ def _coded(code: Callable[[Column], Column]) -> Similarity:
 soundex = _coded(F.soundex)
 
 
+#: Words whose codes a worker remembers.
+KNOWN_WORDS = 100_000
+
+
 def _arrow_coded(function: Callable[[str], str]) -> Similarity:
-    """Codes of the words that the texts have, in Arrow batches; either side without codes makes 0."""
+    """Codes of the words that the texts have, in Arrow batches; either side without codes makes 0. A word is coded once, mostly."""
+    known: dict[str, str] = {}
+
+    def code(word: str) -> str:
+        if (found := known.get(word)) is None:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            found = known[word] = function(word)
+        return found
 
     def sets(words) -> set[str]:
-        return {c for c in map(function, words) if c}
+        return {c for c in map(code, words) if c}
 
     def compare(a: str, b: str) -> float:
         x, y = sets(a.split()), sets(b.split())

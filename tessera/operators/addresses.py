@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import parsing
 from tessera.functions import text as T
 from tessera.functions.spatial import valid
 from tessera.operators.profile import address_tags
@@ -78,3 +79,19 @@ def build(elements: DataFrame, path: str, cities: DataFrame | None = None, cell:
     rows = full_address(normalize(extract(elements), cities))
     rows.repartitionByRange(grid(F.col("lon"), F.col("lat"), cell), "lat").sortWithinPartitions("lat", "lon").write.mode("overwrite").parquet(path)
     return elements.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def parse_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with ``parsed_1`` and ``parsed_2``: each different text of both sides is parsed once. A null side is parsed as an empty one."""
+    sides = pairs.withColumn("_l", F.coalesce(left, F.lit(""))).withColumn("_r", F.coalesce(right, F.lit("")))
+    texts = sides.select(F.explode(F.array("_l", "_r")).alias("_t")).distinct()
+    parsed = texts.select("_t", parsing.parse(F.col("_t")).alias("_p"))
+    for side, name in (("_l", "parsed_1"), ("_r", "parsed_2")):
+        sides = sides.join(parsed.select(F.col("_t").alias(side), F.col("_p").alias(name)), side)
+    return sides.drop("_l", "_r")
+
+
+def pair_coverage(parsed: DataFrame) -> DataFrame:
+    """``side`` and the extraction rates of each side of parse_pairs()."""
+    sides = parsed.select(F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("parsed_1").alias("p")), F.struct(F.lit(2).alias("side"), F.col("parsed_2").alias("p")))).alias("s")).select("s.*")
+    return sides.groupBy("side").agg(*parsing.extraction_rates(F.col("p")))

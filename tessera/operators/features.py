@@ -77,6 +77,21 @@ def entity_features(x: Column, y: Column) -> dict[str, Column]:
     }
 
 
+def location_features(whole: tuple[Column, Column], road: tuple[Column, Column], city: tuple[Column, Column]) -> dict[str, Column]:
+    """The ten features of place names in two addresses, their roads and their cities; each pair is two arrays of entities."""
+    x, y = whole
+    n, m = F.size(F.array_distinct(x)), F.size(F.array_distinct(y))
+    return {
+        "ner_loc_similarity": entity_jaccard(x, y), "ner_road_loc_similarity": entity_jaccard(*road), "ner_city_loc_similarity": entity_jaccard(*city),
+        "ner_address1_loc_count": n, "ner_address2_loc_count": m, "ner_entity_count_diff": F.abs(n - m), "ner_has_location_entities": (n > 0) | (m > 0), "ner_both_have_locations": (n > 0) & (m > 0),
+        "ner_shared_entities": F.size(F.array_intersect(x, y)), "ner_total_unique_entities": F.size(F.array_union(x, y)),
+    }
+
+
+def class_means(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    return df.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, deviation and non-zero values of each column; of flags only the last."""
     kinds = dict(df.dtypes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import xxhash
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -107,3 +107,13 @@ def ablation(df: DataFrame, columns: list[str], name: str = "random_forest") ->
 
 def best(results: dict[str, tuple]) -> str:
     return max(results, key=lambda k: (results[k][1]["f1_score"], k))
+
+
+def save(models: dict[str, PipelineModel], path: str) -> None:
+    """Each fitted pipeline below ``path``, written over what was there."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path.rstrip('/')}/{name}")
+
+
+def load(path: str, names: list[str]) -> dict[str, PipelineModel]:
+    return {name: PipelineModel.load(f"{path.rstrip('/')}/{name}") for name in names}

@@ -17,6 +17,7 @@ SPELLINGS = {
     "Rua": "Rua R. R RUA", "Avenida": "Avenida Av. Av Ave AVENIDA", "Largo": "Largo Lgo. Lgo LARGO", "Praça": "Praça Pça. Pça Praca PRAÇA", "Travessa": "Travessa Tv. Tv Trav. TRAVESSA",
     "Beco": "Beco Bc. Bc BECO", "Estrada": "Estrada Est. Est ESTRADA", "Alameda": "Alameda Al. Al ALAMEDA", "Calçada": "Calçada Calc. Calc Calcada CALÇADA", "Rotunda": "Rotunda Rot. Rot ROTUNDA",
 }
+BUILDING_ATTRIBUTES = ("addr:housenumber", "addr:street", "addr:city", "addr:postcode", "building:levels", "name", "amenity")
 AREAS = {"Lisboa": ("10", "11", "12"), "Porto": ("40", "41", "42"), "Coimbra": ("30",)}
 BINS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -34,6 +35,14 @@ def parse_tags(text: Column) -> Column:
     return F.when(text.isNotNull(), F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], F.replace(p["v"], F.lit("''"), F.lit("'")))))).otherwise(F.create_map().cast("map<string,string>"))
 
 
+def tags_of(df: DataFrame, *columns: str) -> Column:
+    """The first of the columns that is there and not null, as a map; texts are parsed."""
+    kinds = dict(df.dtypes)
+    there = [parse_tags(F.col(c)) if kinds[c] == "string" else F.col(c) for c in columns if c in kinds]
+    found = [F.when(F.col(c).isNotNull(), t) for c, t in zip((c for c in columns if c in kinds), there, strict=True)]
+    return F.coalesce(*found, F.create_map().cast("map<string,string>"))
+
+
 def address_tags(tags: Column) -> Column:
     return F.map_filter(tags, lambda k, v: k.startswith("addr:") & (v != ""))
 
@@ -225,3 +234,22 @@ def correction_rates(before_after: DataFrame, fields: list[str]) -> DataFrame:
     flat = before_after.agg(*(a.alias(f"{f}_{n}") for f in fields for n, a in (("had", F.count_if(~blank(F.col(f)))), ("kept", F.count_if(~blank(F.col(f)) & ~blank(F.col(f"{f}_clean")))), ("changed", F.count_if(F.col(f) != F.col(f"{f}_clean"))))))
     rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), *(F.col(f"{f}_{n}").alias(n) for n in ("had", "kept", "changed"))) for f in fields)))
     return flat.select(rows.alias("r")).select("r.*", percent(F.col("r.kept"), F.col("r.had")).alias("success_percent"), percent(F.col("r.changed"), F.col("r.had")).alias("changed_percent"))
+
+
+def building_attributes(df: DataFrame, tags: str) -> DataFrame:
+    """``attribute, n, percent`` of the buildings that have each common attribute."""
+    rows = df.where(has_building(F.col(tags)))
+    counts = rows.agg(F.count("*").alias("total"), *(F.count_if(F.map_contains_key(tags, a)).alias(a) for a in BUILDING_ATTRIBUTES))
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(f"`{a}`").alias("n")) for a in BUILDING_ATTRIBUTES)))
+    return counts.select("total", each.alias("e")).select("e.attribute", "e.n", percent(F.col("e.n"), F.col("total")).alias("percent"))
+
+
+def failures(df: DataFrame, raw: str, clean: Column, top: int | None = None) -> DataFrame:
+    """``value, n``: raw values that a normalization leaves without a result, the most frequent first; ties by value."""
+    out = df.where(F.col(raw).isNotNull() & (F.col(raw) != "") & clean.isNull()).groupBy(F.col(raw).alias("value")).agg(F.count("*").alias("n"))
+    return out.orderBy(F.desc("n"), "value").limit(top) if top else out
+
+
+def named_like(df: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose name contains the part, whatever its case."""
+    return df.where(F.lower(column).contains(part.lower()))

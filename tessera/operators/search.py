@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STOP_WORDS, collapse, strip_accents, tokens_of
+from tessera.operators import lexicon
 from tessera.sources.scratch import stored
 
 K1, B = 1.2, 0.75
@@ -23,14 +24,15 @@ def analyze(c: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
-def postings(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STOP_WORDS) -> DataFrame:
+def postings(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STOP_WORDS, stems: bool = False) -> DataFrame:
     """``field, term, key, tf, positions, dl``: dl is the number of the document's words in the field.
 
-    It travels with each posting, so that scores need no join for it.
+    It travels with each posting, so that scores need no join for it. ``stems``: terms are Portuguese stems, and so must those of queries be.
     """
     rows = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyze(F.col(f), stop).alias("words")) for f in fields))).alias("f"))
     each = rows.select(key, "f.field", F.size("f.words").cast("long").alias("dl"), F.posexplode("f.words").alias("position", "term"))
-    return each.groupBy("field", "term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+    out = each.groupBy("field", "term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+    return lexicon.stemmed(out, key) if stems else out
 
 
 def stored_index(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STOP_WORDS) -> DataFrame:

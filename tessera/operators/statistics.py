@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BANDS = (("large", 0.8), ("medium", 0.5), ("small", 0.2))
@@ -163,3 +163,15 @@ def mean_interval(samples: DataFrame, by: list[str], value: str, level: float =
     quantiles = each.select("n").distinct().mapInPandas(found, "n long, q double")
     half = F.col("q") * F.col("std") / F.sqrt("n")
     return each.join(quantiles, "n").select(*by, "mean", "n", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def running_mean(samples: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``samples`` with ``runs`` and ``running_mean``: of each series, how many and their mean so far."""
+    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return samples.withColumn("runs", F.count(value).over(so_far)).withColumn("running_mean", F.avg(value).over(so_far))
+
+
+def built_speedups(builds: DataFrame, speedups: DataFrame, key: str) -> DataFrame:
+    """What each index cost to build beside the mean speedup of its tests."""
+    each = speedups.groupBy(key).agg(F.avg("speedup").alias("mean_speedup"), F.count("*").alias("tests"))
+    return builds.join(each, key)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import flows, learning, matching, profiles, retrieval, texts  # noqa: F401  they register their queries
+from tessera.plans import flows, learning, matching, profiles, records, retrieval, texts  # noqa: F401  they register their queries
 from tessera.plans.base import QUERIES, SQL
 
 

@@ -76,6 +76,11 @@ def write_checked(df: DataFrame, path: str, bad: Column, quarantine: str) -> Non
     write_table(df.where(F.coalesce(bad, F.lit(True))), quarantine)
 
 
+def error_report(quarantine: DataFrame, reason: str, top: int = 5) -> DataFrame:
+    """The most frequent reasons for which rows were put aside; ties by reason."""
+    return quarantine.groupBy(reason).agg(F.count("*").alias("n")).orderBy(F.desc("n"), reason).limit(top)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, rows: int = 1000, **properties: str) -> None:
     df.write.mode("overwrite").option("truncate", True).option("batchsize", rows).jdbc(url, table, properties=properties)
 
@@ -114,6 +119,11 @@ def is_ready(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog has a table or view of that name."""
+    return spark.catalog.tableExists(name)
+
+
 def latex(rows: DataFrame, caption: str, limit: int = 200) -> str:
     """A report table of up to ``limit`` rows."""
     names = [c.replace("_", " ").title() for c in rows.columns]
