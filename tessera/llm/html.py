@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, arrow, stored, texts_of
+from tessera.llm.common import BROADCAST_ROWS, arrow, join_small, stored, texts_of
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,7 +44,9 @@ ASIDE_WORDS = frozenset(
 #: Words that with the above make up one class, as in site-header or menu-list; of others, as in entry-header or has-sidebar, it is not beside the article.
 LAYOUT_WORDS = frozenset("site main top bottom left right primary secondary global wrapper wrap container box bar area block inner list links link item items button buttons icons text section widget widgets posts".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body".split())
-#: A wrapper's trees are folded in so many parts first, so that no host is one task's work alone.
+#: Different trees of a host that one task aligns; of more, so many at a time become one first.
+FOLD = 64
+#: Copies of its wrappers over which a host's pages are spread where the wrappers are too many to broadcast.
 SALTS = 16
 #: Pages from which a text that is the same on every page of a host counts as its boilerplate.
 SAME_PAGES = 3
@@ -451,9 +453,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(out, pa.string()), pa.array(texts, path_kind)], names=["host", "shape", "skeleton", "texts"])
 
     found = stored(arrow(pages.select("host", "html"), skeletons, SKELETON))
-    shapes = found.groupBy("host", "shape", "skeleton").agg(F.count("*").alias("n"))
-    parts = _fold(shapes.select("host", "shape", "skeleton", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt")), ["host", "shape", "salt"])
-    whole = _fold(parts, ["host", "shape"])
+    whole = _folded(found.select("host", "shape", "skeleton").distinct())
     seen = found.select("host", "shape", F.explode("texts").alias("t")).groupBy("host", "shape", "t.path").agg(F.sum("t.chars").alias("chars"), F.count("*").alias("n"), (F.min("t.hash") == F.max("t.hash")).alias("one"))
     stats = seen.groupBy("host", "shape").agg(F.to_json(F.collect_list(F.struct("path", "chars", "n", "one"))).alias("stats"))
     pages_of = found.groupBy("host", "shape").agg(F.count("*").alias("pages"))
@@ -471,6 +471,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return arrow(whole.join(stats, ["host", "shape"], "left").join(pages_of, ["host", "shape"]).select("host", "shape", "skeleton", "stats", "pages"), decide, "host string, shape string, wrapper string, paths array<bigint>")
 
 
+def _folded(shapes: DataFrame) -> DataFrame:
+    """One tree per host and shape, of all its different trees: FOLD at a time become one, until a task can take the rest."""
+    while True:
+        sizes = stored(shapes.groupBy("host", "shape").agg(F.count("*").alias("n")))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= FOLD:
+            return _fold(shapes, ["host", "shape"])
+        salted = join_small(shapes, sizes, ["host", "shape"], row_bytes=256).withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.ceil(F.col("n") / FOLD)))
+        shapes = stored(_fold(salted, ["host", "shape", "salt"]).distinct())
+
+
 def _fold(shapes: DataFrame, keys: list[str]) -> DataFrame:
     """One tree per key, of all its trees aligned; one tree at a time is held."""
 

@@ -106,6 +106,15 @@ def test_generated_sites(spark):
     assert found == want
 
 
+def test_many_trees_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(H, "FOLD", 3)
+    rows = [(k, "http://a.x/", "<body><div class='menu'>M</div><div class='story'>" + "".join(f"<{t}>t {k}</{t}>" for n, t in enumerate(("h1", "p", "h2", "ul", "h3", "ol")) if k >> n & 1) + f"<p>end {k}</p></div></body>") for k in range(64)]
+    found = {r.page_id: r.text for r in H.extract(pages(spark, rows).repartition(5)).collect()}
+    assert found == {k: " ".join([f"t {k}"] * bin(k).count("1") + [f"end {k}"]) for k in range(64)}
+    wrapper = H.wrappers(pages(spark, rows).selectExpr("'a.x' as host", "html")).collect()
+    assert len(wrapper) == 1 and all(t in wrapper[0].wrapper for t in ("h1", "h2", "h3", "ol"))
+
+
 def test_deep_and_long_pages(spark):
     rows = [
         (0, "http://a.x/", "<div>" * 5000 + "deep" + "</div>" * 5000), (1, "http://a.x/", "".join(f"<x{k % 7}>t{k} " for k in range(20_000))), (2, "http://b.x/", "<article>" + "<section><p>a" * 3000),
