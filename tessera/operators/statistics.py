@@ -21,10 +21,27 @@ def exclusive_quantile(values: Column, p: float) -> Column:
 
 
 def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, median, deviation (0 for one), ends, p95 and p99; the maximum stands in below 20 and 100 values."""
-    each = samples.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.collect_list(F.col(value).cast("double")).alias("_all"))
-    pick = lambda p, least: F.when(F.col("n") < least, F.col("max")).otherwise(exclusive_quantile(F.col("_all"), p))
-    return each.select(*by, "n", "mean", "median", "std", "min", "max", pick(0.95, 20).alias("p95"), pick(0.99, 100).alias("p99"))
+    """Mean, median, deviation (0 for one), ends, p95 and p99; the maximum stands in below 20 and 100 values.
+
+    The quantiles are exclusive ones, read off the counts of different values up to each of them, so no group is held in memory.
+    """
+    known = samples.where(F.col(value).isNotNull())
+    each = known.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    counts = known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(group.orderBy("_v"))).withColumn("_n", F.sum("_c").over(group))
+
+    def at(p: float, name: str) -> list[Column]:
+        place = F.lit(p) * (F.col("_n") + 1)
+        low = F.least(F.greatest(F.floor(place), F.lit(1)), F.col("_n") - 1)
+        value_of = lambda r: F.min(F.when(F.col("_upto") >= r, F.col("_v")))
+        a, b = value_of(low), value_of(low + 1)
+        return [F.when(F.first("_n") >= 2, a + (b - a) * F.first(place - low)).alias(name)]
+
+    quantiles = ranked.groupBy(*by).agg(*at(0.95, "_p95"), *at(0.99, "_p99")).select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), "_p95", "_p99")
+    same = [each[c].eqNullSafe(quantiles[f"_by{k}"]) for k, c in enumerate(by)]
+    pick = lambda name, least: F.when(F.col("n") < least, F.col("max")).otherwise(F.col(name))
+    return each.join(quantiles, same).select(*by, "n", "mean", "median", "std", "min", "max", pick("_p95", 20).alias("p95"), pick("_p99", 100).alias("p99"))
 
 
 def cohens_d(mean_a: Column, std_a: Column, n_a: Column, mean_b: Column, std_b: Column, n_b: Column) -> Column:
