@@ -175,7 +175,11 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``. Without any label all scores are 0 or near it."""
+    """One row per document: ``doc_id, held_out, score, predicted``. Without any label all scores are 0 or near it.
+
+    Null and empty texts have the score of no text; equal texts have equal scores. Equal rows, rows with one id and rows without an id are scored by
+    themselves; of several labels of an id each counts. Other columns are left out.
+    """
     stats = stored(measured(docs, id, text))
     return scored(stats, fit(stats, labels, id, label)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 

@@ -19,6 +19,32 @@ def test_held_out_accuracy(spark, data):
     assert np.mean([s >= Q.KEEP for s in good]) > 0.98
 
 
+def test_scores_are_those_of_a_plain_fit(spark, data):
+    """The same model by numpy alone: no sums over partitions, no shuffles."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r.doc_id: r.score for r in Q.classify(docs.repartition(5), labels).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    x = {k: np.array(Q.statistics(t)) for k, t in texts.items()}
+    every = np.array(list(x.values()))
+    spread = every.std(axis=0)
+    known = [(x[r.doc_id], r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 5]
+    rng = np.random.RandomState(Q.SEED)
+    w, b = rng.normal(size=(Q.STATISTICS, Q.FEATURES)) / Q.WIDTH, rng.uniform(0, 2 * np.pi, Q.FEATURES)
+    features = lambda m: np.c_[np.cos(np.clip((m - every.mean(axis=0)) / np.where(spread > 1e-9, spread, 1), -6, 6) @ w + b) * np.sqrt(2 / Q.FEATURES), np.ones(len(m))]
+    z, y = features(np.array([k for k, _ in known])), np.array([q for _, q in known], float)
+    weights = np.linalg.solve(z.T @ z + Q.PENALTY * len(y) / Q.FEATURES * np.eye(Q.FEATURES + 1), z.T @ y)
+    raw = lambda m: np.clip(features(m) @ weights, Q.LOW, Q.HIGH)
+    bins = ((raw(np.array([k for k, _ in known])) - Q.LOW) / (Q.HIGH - Q.LOW) * (Q.BINS - 1)).astype(int)
+    at = np.unique(bins)
+    mean, mass = np.array([y[bins == k].mean() for k in at]), np.array([(bins == k).sum() for k in at])
+    # isotonic regression by its definition: the largest mean that begins before, of the least that end behind
+    total, size = np.r_[0, np.cumsum(mean * mass)], np.r_[0, np.cumsum(mass)]
+    level = [max(min((total[j] - total[i]) / (size[j] - size[i]) for j in range(k + 1, len(at) + 1)) for i in range(k + 1)) for k in range(len(at))]
+    score = lambda r: 0.999 * np.interp(r, Q.LOW + (at + 0.5) / (Q.BINS - 1) * (Q.HIGH - Q.LOW), level) + 0.001 * (r - Q.LOW) / (Q.HIGH - Q.LOW)
+    want = dict(zip(x, np.clip(score(raw(every)), 0, 1), strict=True))
+    assert found.keys() == want.keys() and max(abs(found[k] - want[k]) for k in want) < 1e-6
+
+
 def test_pooling():
     rng = random.Random(1)
     for _ in range(50):
