@@ -19,6 +19,8 @@ FEW = 8
 BUCKETS, BUCKET_BYTES, FULL, PACK_BYTES = 1024, 8 << 20, 1 << 20, 8 << 20
 #: Nodes of one key up to which all their pairs are filtered.
 PAIRED = 64
+#: Pairs that are filtered at once.
+PAIRS = 1 << 16
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 
 
@@ -144,13 +146,20 @@ def _bucket(key: np.ndarray, buckets: np.uint64) -> np.ndarray:
 
 def small_groups(node: np.ndarray, n: np.ndarray, at: np.ndarray, first: np.ndarray, size: int, num: int, den: int) -> Iterator[np.ndarray]:
     """Edges of the groups of one size that start at ``first``: pairs that the filters by length and by place let pass."""
-    need = lambda a, b: -(-num * (a + b) // (num + den))
-    for i in range(size):
-        for j in range(i + 1, size):
-            a, b = first + i, first + j
-            most = 1 + np.minimum(n[a] - at[a] - 1, n[b] - at[b] - 1)
-            kept = (node[a] != node[b]) & (most >= need(n[a], n[b])) & (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b]))
-            yield np.column_stack([node[a[kept]], node[b[kept]]])
+    i, j = np.triu_indices(size, 1)
+    step = max(1, PAIRS // len(i))
+    for k in range(0, len(first), step):
+        start = first[k : k + step, None]
+        a, b = (start + i).reshape(-1), (start + j).reshape(-1)
+        most, total = np.minimum(n[a] - at[a], n[b] - at[b]), n[a] + n[b]
+        kept = (node[a] != node[b]) & (most >= -(-num * total // (num + den))) & (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b]))
+        yield np.column_stack([node[a[kept]], node[b[kept]]])
+
+
+def _different(edges: np.ndarray) -> np.ndarray:
+    """The rows (u, v), each once."""
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+    return edges[np.r_[True, (edges[1:] != edges[:-1]).any(axis=1)]] if len(edges) else edges
 
 
 def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
@@ -169,7 +178,7 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
         size, now, large = 0, None, np.zeros(0, np.uint64)
 
         def join(edges: np.ndarray) -> None:
-            for a, b in np.unique(edges, axis=0).tolist() if len(edges) else ():
+            for a, b in _different(edges).tolist():
                 forest.join(a, b)
 
         def settle(last: bool) -> None:
@@ -191,9 +200,10 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             if last:
                 if sized:
                     at = x["at"].astype(np.int64)
-                    for k in np.unique(many[~chained & (many > 1)]).tolist():
-                        for edges in small_groups(node, n, at, first[~chained & (many == k)], k, num, den):
-                            join(edges)
+                    found = [np.zeros((0, 2), np.int64)]
+                    for k in np.flatnonzero(np.bincount(many[~chained])[2:]) + 2 if not chained.all() else ():
+                        found += small_groups(node, n, at, first[~chained & (many == k)], int(k), num, den)
+                    join(np.concatenate(found))
                 held, size, large = [], 0, np.zeros(0, np.uint64)
             else:
                 large = np.union1d(large, key[first[chained]]) if sized else large

@@ -83,3 +83,9 @@ def quick_windows(sums: np.ndarray, length: int) -> np.ndarray:
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case; other bytes as they are."""
     return _LOWER[data]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
 from tessera.llm.components import Packer, blocks, bucket_edges, buckets_for, connected, verified
-from tessera.llm.hashing import between, lowered, mix, prefix
+from tessera.llm.hashing import between, distinct, lowered, mix, prefix
 
 #: Cells that n-grams are counted in, sent and summed in slices.
 CELLS, SLICES = 1 << 20, 256
@@ -53,7 +53,7 @@ def word_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
     for k in range(rows):
         a, m = first[k], int(count[k])
         if m >= n:
-            out.append(np.unique(grams[a : a + m - n + 1]))
+            out.append(distinct(grams[a : a + m - n + 1]))
         elif m:
             with np.errstate(over="ignore"):
                 out.append(mix((h[a : a + m] * _ODD[:m]).sum(dtype=np.uint64, keepdims=True) + np.uint64(m)))
@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("node")
     near = stored(join_small(classes.select("name", "first", "n", half), candidates, "node").select("name", "first", F.col("component").alias("comp"), (F.col("n") * 8).alias("weight")))
     spread = blocks(near.select(F.col("name").alias("node"), "comp", "weight"))
-    texts = join_small(plain.withColumnRenamed("doc_id", "first"), near.select("first", F.col("name").alias("node")), "first")
-    links = verified(texts.join(spread, "node"), sets_of(n), num, den)
+    # The texts come last, so that they are shuffled once.
+    where = stored(spread.join(near.select(F.col("name").alias("node"), "first"), "node"))
+    links = verified(join_small(plain.withColumnRenamed("doc_id", "first"), where, "first"), sets_of(n), num, den)
     # The texts of one document.
     several = known.groupBy("doc_id").agg(F.min("name").alias("u"), F.max("name").alias("v")).where("u <> v").select("doc_id", "u")
     several = join_small(known, stored(several), "doc_id").where("name <> u").select("u", F.col("name").alias("v")).distinct()
