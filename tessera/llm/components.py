@@ -15,6 +15,8 @@ from tessera.llm.common import arrow, join_small, stored
 GROUP_ROWS, GROUP_BYTES = 2000, 8 << 20
 #: Pairs of groups up to this size are compared one by one, behind a suffix filter.
 FEW = 8
+#: Members of a group that stand for it when groups of a large component are compared.
+HEADS = 4
 #: Buckets of candidate keys at least, bytes that one is meant for, entries from which a bucket is settled in part, and bytes that a task packs at once.
 BUCKETS, BUCKET_BYTES, FULL, PACK_BYTES = 1024, 8 << 20, 1 << 20, 8 << 20
 #: Nodes of one key up to which all their pairs are filtered.
@@ -270,15 +272,59 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[i
                 yield a, b
 
 
+def _blocks_of(rows: int, size: int):
+    return F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("weight") / size)).cast("long")
+
+
 def blocks(nodes: DataFrame) -> DataFrame:
     """``node, comp, i, j``: where each of the nodes (node, comp, weight) is compared; with every other of its component once at least."""
-    n = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("weight") / GROUP_BYTES)).cast("long")
-    large = stored(nodes.groupBy("comp").agg(n.alias("blocks")).where("blocks > 1"))
+    large = stored(nodes.groupBy("comp").agg(_blocks_of(GROUP_ROWS, GROUP_BYTES).alias("blocks")).where("blocks > 1"))
     spread = join_small(nodes, large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     return spread.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
 
+def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with ``label``, the component of the edges that each is in."""
+    found = stored(connected(edges).toDF("node", "label"))
+    return stored(join_small(nodes.drop("label"), found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def links(nodes: DataFrame, members: Callable[[DataFrame], DataFrame], sets: Callable[[list, list[str]], list[np.ndarray]], num: int, den: int) -> DataFrame:
+    """Edges (u, v) that connect what all true links among the nodes (node, comp, weight; stored) of each candidate component would connect.
+
+    ``members`` gives rows (node, comp, i, j) their text. A component that fits a task is compared there. A larger one is cut into blocks that are
+    compared by themselves; then HEADS of each group that this found are compared with each other; what is still apart from
+    the largest group after that is compared with all of the component. Copies of one text, the groups that get
+    large, are together after the first two steps, each linear in their number; only what is apart costs its number times the component's.
+    """
+    large = stored(nodes.groupBy("comp").agg(_blocks_of(GROUP_ROWS, GROUP_BYTES).alias("blocks"), F.count("*").alias("n")).where("blocks > 1"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    once = join_small(nodes, large, "comp", "left").withColumn("i", F.coalesce(block, F.lit(0)).cast("long"))
+    edges = stored(verified(members(once.select("node", "comp", "i", F.col("i").alias("j"))), sets, num, den))
+    if large.isEmpty():
+        return edges
+    spread = _labelled(join_small(nodes, large.select("comp"), "comp", "left_semi"), edges)
+    first = F.array_distinct(F.array(*(F.min_by(F.struct("node", "weight"), F.xxhash64("node", F.lit(k))) for k in range(HEADS))))
+    heads = stored(spread.groupBy("comp", "label").agg(first.alias("h")).select("comp", F.explode("h").alias("h")).select("comp", "h.node", "h.weight"))
+    edges = stored(edges.unionByName(verified(members(blocks(heads)), sets, num, den)))
+    # A component of heads alone has been compared as a whole.
+    whole = heads.groupBy("comp").agg(F.count("*").alias("heads")).join(large, "comp").where("heads < n").select("comp")
+    spread = _labelled(join_small(spread, stored(whole), "comp", "left_semi"), edges)
+    main = spread.groupBy("comp", "label").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    spread = stored(join_small(spread, stored(main), "comp").withColumn("apart", F.col("label") != F.col("main")))
+    half = _blocks_of(GROUP_ROWS // 2 or 1, GROUP_BYTES // 2)
+    rest = spread.where("apart").groupBy("comp").agg(half.alias("k"))
+    sizes = stored(rest.join(spread.groupBy("comp").agg(half.alias("m")), "comp"))
+    if sizes.isEmpty():
+        return edges
+    each = join_small(spread, sizes, "comp")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = each.where("apart").select("node", "comp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).alias("i"), upto("m").alias("j"))
+    against = each.select("node", "comp", upto("k").alias("i"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("m")).alias("j"))
+    return edges.unionByName(verified(members(asked.unionByName(against).distinct()), sets, num, den))
+
+
 def verified(members: DataFrame, sets: Callable[[list, list[str]], list[np.ndarray]], num: int, den: int) -> DataFrame:
     """Edges (u, v) of true links among members (comp, i, j, node, text), as forests; ``sets`` turns nodes and their texts into sorted sets.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
-from tessera.llm.components import Packer, blocks, bucket_edges, buckets_for, connected, verified
+from tessera.llm.components import Packer, bucket_edges, buckets_for, connected, links
 from tessera.llm.hashing import between, distinct, lowered, mix, prefix
 
 #: Cells that n-grams are counted in, sent and summed in slices.
@@ -182,14 +182,17 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     # From here on a set goes by its whole name.
     half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("node")
     near = stored(join_small(classes.select("name", "first", "n", half), candidates, "node").select("name", "first", F.col("component").alias("comp"), (F.col("n") * 8).alias("weight")))
-    spread = blocks(near.select(F.col("name").alias("node"), "comp", "weight"))
-    # The texts come last, so that they are shuffled once.
-    where = stored(spread.join(near.select(F.col("name").alias("node"), "first"), "node"))
-    links = verified(join_small(plain.withColumnRenamed("doc_id", "first"), where, "first"), sets_of(n), num, den)
+    named = near.withColumnRenamed("name", "node")
+
+    def members(where: DataFrame) -> DataFrame:
+        """The texts come last, so that they are shuffled once."""
+        return join_small(plain.withColumnRenamed("doc_id", "first"), stored(where.join(named.select("node", "first"), "node")), "first")
+
+    edges = links(named.select("node", "comp", "weight"), members, sets_of(n), num, den)
     # The texts of one document.
     several = known.groupBy("doc_id").agg(F.min("name").alias("u"), F.max("name").alias("v")).where("u <> v").select("doc_id", "u")
     several = join_small(known, stored(several), "doc_id").where("name <> u").select("u", F.col("name").alias("v")).distinct()
-    whole = stored(connected(links.unionByName(several)).toDF("name", "comp"))
+    whole = stored(connected(edges.unionByName(several)).toDF("name", "comp"))
     least = join_small(classes, whole, "name").groupBy("comp").agg(F.min("first").alias("component_id"))
     joined = whole.join(least, "comp").select("name", "component_id")
     copied = classes.where("rows > 1").select("name", "first").join(whole.select("name"), "name", "left_anti").toDF("name", "component_id")

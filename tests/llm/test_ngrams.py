@@ -74,6 +74,43 @@ def test_large_groups_go_block_by_block(spark, monkeypatch):
     assert found == brute(rows, 3, 90, 100) and {r[2] for r in found} == {0}
 
 
+@pytest.mark.parametrize("rows_of_a_group", [3, 8])
+def test_links_of_large_components(spark, monkeypatch, rows_of_a_group):
+    """All of one candidate component: copies in a few groups, some of them linked by one pair only, and texts that link with nothing."""
+    monkeypatch.setattr(C, "GROUP_ROWS", rows_of_a_group)
+    rng = random.Random(6)
+    sets = []
+    for _ in range(4):
+        base = rng.sample(range(300), 20)
+        for _ in range(rng.choice([6, 12])):
+            sets.append({*base[:-2], *rng.sample(range(300), 2)} if rng.random() < 0.7 else set(base))
+    chain = rng.sample(range(300), 20)
+    for k in range(12):
+        chain = [*chain[1:], 1000 + k]
+        sets.append(set(chain))
+    sets += [set(rng.sample(range(2000, 3000), 20)) for _ in range(6)]
+    texts = [" ".join(map(str, sorted(x))) for x in sets]
+    nodes = spark.createDataFrame([(k, k % 2 if k > 60 else 0, 20) for k in range(len(sets))], "node long, comp long, weight long")
+    words = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+
+    def of(_, lines):
+        import numpy as np
+
+        return [np.unique(np.array([int(w) for w in t.split()], np.uint64)) for t in lines]
+
+    found = C.connected(C.links(nodes, lambda where: words.join(where, "node"), of, 80, 100)).collect()
+    comp = {r.node: r.component for r in found}
+    for a, x in enumerate(sets):
+        seen, todo = {a}, [a]
+        while todo:
+            c = todo.pop()
+            for b, y in enumerate(sets):
+                if b not in seen and (b % 2 if b > 60 else 0) == (c % 2 if c > 60 else 0) and 100 * len(sets[c] & y) >= 80 * len(sets[c] | y):
+                    seen.add(b)
+                    todo.append(b)
+        assert comp.get(a, a) == min(seen)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5100)] + [(None, 3), (4, None), (6, 6)]
