@@ -19,6 +19,8 @@ FEW = 8
 HEADS = 4
 #: Buckets of candidate keys at least, bytes that one is meant for, entries from which a bucket is settled in part, and bytes that a task packs at once.
 BUCKETS, BUCKET_BYTES, FULL, PACK_BYTES = 1024, 8 << 20, 1 << 20, 8 << 20
+#: Edges that one task makes components of; more go in rounds.
+ONE_TASK = 300_000
 #: Nodes of one key up to which all their pairs are filtered.
 PAIRED = 64
 #: Pairs that are filtered at once.
@@ -81,18 +83,21 @@ def connected(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of the edges (two columns of one type, any direction); a component is its smallest node.
 
     Every node hooks to its smallest neighbour, hooks are shortened to roots, and edges between different roots go on, which
-    each task replaces by stars; each round leaves fewer. No edge leaves the executors. Null ends are no edges. Edges
-    come best as the forests of the tasks that found them.
+    each task replaces by stars; each round leaves fewer. Once ONE_TASK are left, a task ends it. No edge leaves the executors. Null ends are no
+    edges. Edges come best as the forests of the tasks that found them.
     """
     kind = edges.schema[0].dataType.simpleString()
     schema = f"u {kind}, v {kind}"
     left = edges.toDF("u", "v").where("u is not null and v is not null and u <> v")
     left = stored(left.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     labels = None
-    while not left.isEmpty():
-        hooks = _compressed(stored(left.groupBy("u").agg(F.min("v").alias("v"))))
+    while many := left.count():
+        last = many <= ONE_TASK
+        hooks = stored(arrow(left.repartition(1), forest_of, schema)) if last else _compressed(stored(left.groupBy("u").agg(F.min("v").alias("v"))))
         root = hooks.select(F.col("u").alias("v"), F.col("v").alias("w"))
         labels = hooks if labels is None else stored(labels.join(root, "v", "left").select("u", F.coalesce("w", "v").alias("v")).unionByName(hooks))
+        if last:
+            break
         a = left.join(hooks.select("u", F.col("v").alias("x")), "u").join(root, "v", "left").select("x", F.coalesce("w", "v").alias("y")).where("x <> y")
         left = stored(arrow(a.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), forest_of, schema))
     if labels is None:
@@ -290,10 +295,10 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(join_small(nodes.drop("label"), found, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
 
-def links(nodes: DataFrame, members: Callable[[DataFrame], DataFrame], sets: Callable[[list, list[str]], list[np.ndarray]], num: int, den: int) -> DataFrame:
+def links(nodes: DataFrame, members: Callable[[DataFrame], DataFrame], compare: Callable[[list, list], Iterator[tuple[int, int]]]) -> DataFrame:
     """Edges (u, v) that connect what all true links among the nodes (node, comp, weight; stored) of each candidate component would connect.
 
-    ``members`` gives rows (node, comp, i, j) their text. A component that fits a task is compared there. A larger one is cut into blocks that are
+    ``members`` gives rows (node, comp, i, j) the ``text`` by which ``compare`` finds links among a list of nodes, as pairs of places. A component that fits a task is compared there. A larger one is cut into blocks that are
     compared by themselves; then HEADS of each group that this found are compared with each other; what is still apart from
     the largest group after that is compared with all of the component. Copies of one text, the groups that get
     large, are together after the first two steps, each linear in their number; only what is apart costs its number times the component's.
@@ -301,13 +306,13 @@ def links(nodes: DataFrame, members: Callable[[DataFrame], DataFrame], sets: Cal
     large = stored(nodes.groupBy("comp").agg(_blocks_of(GROUP_ROWS, GROUP_BYTES).alias("blocks"), F.count("*").alias("n")).where("blocks > 1"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     once = join_small(nodes, large, "comp", "left").withColumn("i", F.coalesce(block, F.lit(0)).cast("long"))
-    edges = stored(verified(members(once.select("node", "comp", "i", F.col("i").alias("j"))), sets, num, den))
+    edges = stored(verified(members(once.select("node", "comp", "i", F.col("i").alias("j"))), compare))
     if large.isEmpty():
         return edges
     spread = _labelled(join_small(nodes, large.select("comp"), "comp", "left_semi"), edges)
     first = F.array_distinct(F.array(*(F.min_by(F.struct("node", "weight"), F.xxhash64("node", F.lit(k))) for k in range(HEADS))))
     heads = stored(spread.groupBy("comp", "label").agg(first.alias("h")).select("comp", F.explode("h").alias("h")).select("comp", "h.node", "h.weight"))
-    edges = stored(edges.unionByName(verified(members(blocks(heads)), sets, num, den)))
+    edges = stored(edges.unionByName(verified(members(blocks(heads)), compare)))
     # A component of heads alone has been compared as a whole.
     whole = heads.groupBy("comp").agg(F.count("*").alias("heads")).join(large, "comp").where("heads < n").select("comp")
     spread = _labelled(join_small(spread, stored(whole), "comp", "left_semi"), edges)
@@ -322,23 +327,30 @@ def links(nodes: DataFrame, members: Callable[[DataFrame], DataFrame], sets: Cal
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     asked = each.where("apart").select("node", "comp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).alias("i"), upto("m").alias("j"))
     against = each.select("node", "comp", upto("k").alias("i"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("m")).alias("j"))
-    return edges.unionByName(verified(members(asked.unionByName(against).distinct()), sets, num, den))
+    return edges.unionByName(verified(members(asked.unionByName(against).distinct()), compare))
 
 
-def verified(members: DataFrame, sets: Callable[[list, list[str]], list[np.ndarray]], num: int, den: int) -> DataFrame:
-    """Edges (u, v) of true links among members (comp, i, j, node, text), as forests; ``sets`` turns nodes and their texts into sorted sets.
+def by_sets(sets: Callable[[list, list], list[np.ndarray]], num: int, den: int) -> Callable[[list, list], Iterator[tuple[int, int]]]:
+    """Compares by links_within(); ``sets`` turns nodes and their texts into sorted sets. Empty ones link with nothing."""
 
-    Members with an empty set link with nothing.
-    """
+    def compare(nodes: list, texts: list) -> Iterator[tuple[int, int]]:
+        found = [(k, s) for k, s in enumerate(sets(nodes, texts)) if len(s)]
+        if len(found) > 1:
+            for a, b in links_within([s for _, s in found], num, den):
+                yield found[a][0], found[b][0]
+
+    return compare
+
+
+def verified(members: DataFrame, compare: Callable[[list, list], Iterator[tuple[int, int]]]) -> DataFrame:
+    """Edges (u, v) of true links among members (comp, i, j, node, text) that meet, as forests."""
     kind = members.schema["node"].dataType.simpleString()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, node, text = None, [], []
 
         def out():
-            found = [(k, s) for k, s in zip(node, sets(node, text), strict=True) if len(s)]
-            edges = [(found[a][0], found[b][0]) for a, b in links_within([s for _, s in found], num, den)] if len(found) > 1 else []
-            if edges:
+            if edges := [(node[a], node[b]) for a, b in compare(node, text)]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), type_) for x in zip(*edges, strict=True)], names=["u", "v"])
 
         for batch in batches:
@@ -353,4 +365,4 @@ def verified(members: DataFrame, sets: Callable[[list, list[str]], list[np.ndarr
         if len(node) > 1:
             yield from out()
 
-    return arrow(members.select("comp", "i", "j", "node", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), compare, f"u {kind}, v {kind}")
+    return arrow(members.select("comp", "i", "j", "node", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node"), run, f"u {kind}, v {kind}")

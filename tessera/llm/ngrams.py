@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
-from tessera.llm.components import Packer, bucket_edges, buckets_for, connected, links
+from tessera.llm.components import Packer, bucket_edges, buckets_for, by_sets, connected, links
 from tessera.llm.hashing import between, distinct, lowered, mix, prefix
 
 #: Cells that n-grams are counted in, sent and summed in slices.
@@ -24,6 +24,8 @@ CELLS, SLICES = 1 << 20, 256
 CHUNK = 1 << 17
 #: Sets that a task remembers having sent.
 MET = 200_000
+#: N-grams that a range of a set's profile is meant for.
+PER_RANGE = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = np.random.RandomState(99).randint(0, 1 << 62, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,6 +69,45 @@ def name_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def profile(grams: np.ndarray) -> bytes:
+    """How many n-grams of a set fall in each of some ranges of hashes, about PER_RANGE in one: little endian, 2 bytes each, 65535 for that or more."""
+    bits = min(12, max(4, int(len(grams) // PER_RANGE).bit_length()))
+    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 0xFFFF).astype("<u2").tobytes()
+
+
+def by_profiles(num: int, den: int) -> Callable[[list, list], Iterator[tuple[int, int]]]:
+    """Compares by a suffix filter: two sets have no more in common than, range by range, the smaller count. Finds links that connect at least what true links would."""
+
+    def compare(nodes: list, profiles: list) -> Iterator[tuple[int, int]]:
+        every = [np.frombuffer(p or b"", "<u2").astype(np.int32) for p in profiles]
+        width, size = np.array(list(map(len, every))), np.array([x.sum() for x in every], np.int64)
+        full = np.array([bool((x == 0xFFFF).any()) for x in every])
+        tables = {}  # of each width, the sets that have at least so many ranges, brought to that many
+        for w in np.unique(width[width > 0]).tolist():
+            rows = np.flatnonzero(width >= w)
+            tables[w] = rows, np.array([every[r].reshape(w, -1).sum(axis=1) for r in rows])
+        fresh = width > 0
+        for seed in range(len(every)):
+            queue = [seed] if fresh[seed] else []
+            fresh[seed] = False
+            while queue:
+                a = queue.pop()
+                for w, (rows, table) in tables.items():  # two sets meet at the smaller width of the two
+                    if w > width[a]:
+                        continue
+                    open_ = fresh[rows] & (np.minimum(width[rows], width[a]) == w)
+                    mine = rows[open_]
+                    most = np.minimum(table[open_], table[np.searchsorted(rows, a)]).sum(axis=1)
+                    passed = ((num + den) * most >= num * (size[mine] + size[a])) & (np.minimum(size[mine], size[a]) * den >= num * np.maximum(size[mine], size[a]))
+                    found = mine[passed | full[mine] | full[a]]
+                    fresh[found] = False
+                    for b in found.tolist():
+                        queue.append(b)
+                        yield a, b
+
+    return compare
+
+
 def sets_of(n: int) -> Callable[[list[str], list[str]], list[np.ndarray]]:
     """Sets of texts; none for a text whose set is not the one named."""
 
@@ -85,25 +126,26 @@ def _by_chunk(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]
 
 
 def measured(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n, name) of documents, without a name where there are no n-grams, and rows (slice, counts) of the cells that a task has met. docs: doc_id, text."""
+    """Rows (doc_id, n, name, profile) of documents, without a name where there are no n-grams, and rows (slice, counts) of the cells that a task has met. docs: doc_id, text."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "n", "name", "slice", "counts"]
+        names = ["doc_id", "n", "name", "profile", "slice", "counts"]
         kind = None
         for batch in batches:
-            size, named, kind = [], [], batch.column(0).type
+            size, named, profiles, kind = [], [], [], batch.column(0).type
             for _, sets in _by_chunk(batch.column(1), n):
                 size += map(len, sets)
                 named += [name_of(s).hex() if len(s) else None for s in sets]
+                profiles += [profile(s) if len(s) else None for s in sets]
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
             none = [None] * len(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(named, pa.string()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(named, pa.string()), pa.array(profiles, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         if cells.any():
             none = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.string()), pa.array(range(SLICES), pa.int32()), pa.array(list(map(_narrow, cells.reshape(SLICES, -1))), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.string()), pa.array(none, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(list(map(_narrow, cells.reshape(SLICES, -1))), pa.binary())], names=names)
 
-    return arrow(docs, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, name string, slice int, counts binary")
+    return arrow(docs, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, name string, profile binary, slice int, counts binary")
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -179,16 +221,19 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     entries = classes.agg(F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1"))).first()[0] or 0
     own = plain.where("doc_id is not null").select("text")
     candidates = stored(connected(bucket_edges(prefixes(own, n, num, den, cells, buckets_for(int(entries))), num, den)))
-    # From here on a set goes by its whole name.
-    half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("node")
-    near = stored(join_small(classes.select("name", "first", "n", half), candidates, "node").select("name", "first", F.col("component").alias("comp"), (F.col("n") * 8).alias("weight")))
-    named = near.withColumnRenamed("name", "node")
+    # From here on a set goes by its whole name. Profiles, a small part of the texts, part most of what prefixes brought together.
+    half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("half")
+    near = stored(join_small(classes.select("name", "first", "n", half), candidates.withColumnRenamed("node", "half"), "half").select(F.col("name").alias("node"), "first", F.col("component").alias("comp"), (F.col("n") * 8).alias("weight")))
+    shown = seen.select(F.col("name").alias("node"), F.col("doc_id").alias("first"), F.col("profile").alias("text"))
+    shown = stored(join_small(shown, near.select("node", "first"), ["node", "first"], row_bytes=128).dropDuplicates(["node"]).select("node", "text"))
+    likely = stored(connected(links(near.select("node", "comp", F.col("weight") / 8).toDF("node", "comp", "weight"), lambda where: shown.join(where, "node"), by_profiles(num, den))).toDF("node", "comp"))
+    near = stored(join_small(near.drop("comp"), likely, "node", row_bytes=128))
 
     def members(where: DataFrame) -> DataFrame:
         """The texts come last, so that they are shuffled once."""
-        return join_small(plain.withColumnRenamed("doc_id", "first"), stored(where.join(named.select("node", "first"), "node")), "first")
+        return join_small(plain.withColumnRenamed("doc_id", "first"), stored(where.join(near.select("node", "first"), "node")), "first")
 
-    edges = links(named.select("node", "comp", "weight"), members, sets_of(n), num, den)
+    edges = links(near.select("node", "comp", "weight"), members, by_sets(sets_of(n), num, den))
     # The texts of one document.
     several = known.groupBy("doc_id").agg(F.min("name").alias("u"), F.max("name").alias("v")).where("u <> v").select("doc_id", "u")
     several = join_small(known, stored(several), "doc_id").where("name <> u").select("u", F.col("name").alias("v")).distinct()

@@ -98,7 +98,7 @@ def test_links_of_large_components(spark, monkeypatch, rows_of_a_group):
 
         return [np.unique(np.array([int(w) for w in t.split()], np.uint64)) for t in lines]
 
-    found = C.connected(C.links(nodes, lambda where: words.join(where, "node"), of, 80, 100)).collect()
+    found = C.connected(C.links(nodes, lambda where: words.join(where, "node"), C.by_sets(of, 80, 100))).collect()
     comp = {r.node: r.component for r in found}
     for a, x in enumerate(sets):
         seen, todo = {a}, [a]
@@ -111,7 +111,9 @@ def test_links_of_large_components(spark, monkeypatch, rows_of_a_group):
         assert comp.get(a, a) == min(seen)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 40, 300_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(C, "ONE_TASK", one_task)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5100)] + [(None, 3), (4, None), (6, 6)]
     up = {}
@@ -186,6 +188,29 @@ def test_buckets_of_all_sizes(spark):
             assert len({find(got, v) for v in range(400)}) == len({find(want, v) for v in range(400)})
 
 
+def test_profiles_bound_the_intersection():
+    import numpy as np
+
+    rng = np.random.RandomState(4)
+    every = [np.unique(rng.randint(0, 1 << 62, rng.choice([1, 3, 40, 700, 3000, 9000])).astype(np.uint64) * np.uint64(4)) for _ in range(12)]
+    for k in range(12):
+        s = every[k]
+        keep = rng.random(len(s)) < rng.choice([0.85, 0.93, 0.99, 1])
+        other = np.union1d(s[keep], rng.randint(0, 1 << 62, int((~keep).sum() * rng.random())).astype(np.uint64) * np.uint64(4))
+        every += [other] if len(other) else []
+    names = [str(k) for k in range(len(every))]
+    linked = {(a, b) for a in range(len(every)) for b in range(len(every)) if a < b and 100 * len(np.intersect1d(every[a], every[b])) >= 90 * len(np.union1d(every[a], every[b]))}
+    up = C.Forest()
+    edges = list(N.by_profiles(90, 100)(names, [N.profile(s) for s in every]))
+    for a, b in edges:
+        up.join(a, b)
+    assert len(linked) > 5 and all(up.find(a) == up.find(b) for a, b in linked)
+    # and it tells most others apart
+    together = sum(up.find(a) == up.find(b) for a in range(len(every)) for b in range(a))
+    assert together <= len(linked) + 12
+    assert list(N.by_profiles(90, 100)(["0", "1"], [N.profile(every[0]), ""])) == []
+
+
 def test_ids_that_come_twice(spark):
     words = [f"w{k}" for k in range(60)]
     a, b = " ".join(words), " ".join([*words[:50], "x", *words[51:]])
