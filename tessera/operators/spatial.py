@@ -15,7 +15,8 @@ def nearest(points: DataFrame, point: tuple[float, float], k: int, key: str) ->
 
 
 def batch_nearest(queries: DataFrame, points: DataFrame, k: int, key: str, query: str, degrees: float) -> DataFrame:
-    """The k nearest points (metres) of each query, ties by key; exact.
+    """The k nearest points (metres) of each query, ties by key; exact. Metres are rounded to micrometres before they are compared: two points as far
+    away, to the east and to the west, are a tie whatever the last bits of sines and cosines say.
 
     Points are sought in the query's grid cell and the eight around it. Where what lies outside may be nearer than the k-th found, or fewer
     are found, the query goes on with cells twice as wide, in the end with all points. ``degrees``: width of the first cells.
@@ -47,7 +48,7 @@ def _windows(queries: DataFrame, degrees: float) -> DataFrame:
 
 def _ranked(near: DataFrame, points: DataFrame, k: int, key: str, query: str, whole: bool) -> DataFrame:
     each = near.crossJoin(points) if whole else near.join(points, ["_x", "_y"])
-    metres = each.withColumn("metres", haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")))
+    metres = each.withColumn("metres", F.round(haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")), 6))
     rank = F.row_number().over(Window.partitionBy(query).orderBy("metres", key))
     return metres.withColumn("rank", rank).where(F.col("rank") <= k).select(query, key, "metres", "rank")
 

@@ -23,3 +23,17 @@ def test_batch_nearest_is_exact_where_points_are_few(spark):
         mine.setdefault(r.site, []).append(r.id)
     want = {s: [p[0] for p in sorted((p for p in points if p[1] is not None), key=lambda p: (metres((x, y), p[1:]), p[0]))[:3]] for s, x, y in sites}
     assert mine == want
+
+
+def test_batch_nearest_ranks_points_as_far_away_by_key(spark):
+    """Places mirrored at the site's meridian, whose computed distances differ in the last bits."""
+    places = [(38.0 + k % 40 / 10, 0.01 * (1 + k % 7)) for k in range(280)]
+    for flip in (1, -1):
+        points = [(10 * k + side, -9.0 + (flip if side else -flip) * d, y) for k, (y, d) in enumerate(places) for side in (0, 1)]
+        sites = [(k, -9.0, y) for k, (y, _) in enumerate(places)]
+        frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, lon double, lat double")
+        found = {}
+        for r in spatial.batch_nearest(frame(sites, "site"), frame(points, "id"), 4, "id", "site", 0.5).collect():
+            found.setdefault(r.site, {})[r["rank"]] = r.id
+        want = {s: [p[0] for p in sorted(points, key=lambda p: (round(metres((x, y), p[1:]), 4), p[0]))[:4]] for s, x, y in sites}
+        assert {s: [v[r] for r in sorted(v)] for s, v in found.items()} == want
