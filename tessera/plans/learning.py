@@ -9,6 +9,7 @@ from tessera.operators import cities, features, learning
 from tessera.operators.pairs import stratified_split
 from tessera.plans.base import query, table
 from tessera.plans.matching import scores
+from tessera.sources.scratch import stored
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -75,6 +76,7 @@ def tuned_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def folded_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = _features(spark, sf_dir)
+    df = stored(df)
     return spark.createDataFrame([(n, float(learning.folded_f1(df.where("train"), columns, n))) for n in learning.classifiers()], "model string, f1_score double")
 
 
