@@ -8,8 +8,9 @@ them that have nearly the form of their kind but not quite.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ EDGE = "\"'()[]{}<>,.;:!?"
 CUES = ":=#"
 #: Seeds (different values) that a pattern needs, rounds of scoring, and the confidence from which a pattern counts.
 SUPPORT, ROUNDS, CONFIDENCE = 3, 3, 0.8
-#: A neighbour of more code points, as a run of base64, is no word that a pattern could be made of.
+#: A neighbour of more code points, as a run of base64, stands in patterns as its digest.
 WORD = 40
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, around array<struct<kind: string, start: int, end: int, value: string, pattern: string, seed: boolean>>"
 _AROUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("pattern", pa.string()), ("seed", pa.bool_())]))
@@ -99,22 +100,65 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in WORDS.finditer(text)]
 
 
-def patterns(text: str, start: int, end: int, runs: list[tuple[int, int]]) -> list[str]:
-    """The words beside a value: two before it, one on either side, and one before it that announces it; digits count alike. ``runs``: tokens(text)."""
+def _keys(text: str, cuts: list[int]) -> Iterator[str]:
+    """For each of the ascending cuts the key of the word up to it, in time linear in the text: digits alike, edges off, of more than WORD code points a digest."""
+    at = len(text) - len(text.lstrip(EDGE))
+    digest, short, n = blake2b(digest_size=16), "", 0
+    for end in cuts:
+        while end > at and text[end - 1] in EDGE:
+            end -= 1
+        if end > at:
+            normal = re.sub("[0-9]+", "9", text[at:end].lower().replace("ς", "σ"))
+            if at and text[at - 1] in "0123456789" and text[at] in "0123456789":
+                normal = normal[1:]
+            digest.update(normal.encode("utf-8", "surrogatepass"))
+            n += len(normal)
+            short = short + normal if n <= WORD else ""
+            at = end
+        yield short if n <= WORD else f"#{digest.hexdigest()}"
+
+
+class Words:
+    """Keys of the words beside values. A long run of anything but white space is read once forward and once backward for all values in it."""
+
+    def __init__(self, text: str, runs: list[tuple[int, int]], starts: list[int], ends: list[int]):
+        self.text, self.runs, self.starts, self.ends = text, runs, starts, ends
+        self.long: dict[tuple[int, bool], dict[int, str]] = {}
+
+    def __call__(self, k: int, cut: int, ahead: bool) -> str:
+        """Of run k what stands before ``cut`` (the word is ahead of a value), or after it."""
+        first, last = self.runs[k]
+        a, b = (first, min(cut, last)) if ahead else (max(cut, first), last)
+        if b - a <= WORD:
+            return re.sub("[0-9]+", "9", self.text[a:b].strip(EDGE).lower())
+        if (k, ahead) not in self.long:
+            places = self.starts if ahead else self.ends
+            inner = places[bisect_right(places, first) : bisect_left(places, last)]
+            run = self.text[first:last]
+            if ahead:
+                cuts = [*inner, last]
+                self.long[k, ahead] = dict(zip(cuts, _keys(run, [c - first for c in cuts]), strict=True))
+            else:
+                cuts = [*inner[::-1], first]
+                self.long[k, ahead] = dict(zip(cuts, _keys(run[::-1], [last - c for c in cuts]), strict=True))
+        return self.long[k, ahead][b if ahead else a]
+
+
+def patterns(start: int, end: int, words: Words) -> list[str]:
+    """The words beside a value: two before it, one on either side, and one before it that announces it; digits count alike."""
+    runs = words.runs
     k = bisect_right(runs, start, key=lambda r: r[0]) - 1  # the value's own token: what stands before the value in it is a word, too
-    before = [text[runs[j][0] : min(runs[j][1], start)] for j in range(max(0, k - 2), k + 1) if runs[j][0] < start][-2:]
+    at = [j for j in range(max(0, k - 2), k + 1) if runs[j][0] < start][-2:]
+    before = [words(j, start, True) for j in at]
     k = bisect_right(runs, end, key=lambda r: r[1])
-    after = [text[max(runs[k][0], end) : runs[k][1]]] if k < len(runs) else []
-    if any(len(w) > WORD for w in (*before, *after)):
-        return []
-    word = lambda w: re.sub("[0-9]+", "9", w.strip(EDGE).lower())
+    after = [words(k, end, False)] if k < len(runs) else []
     out = []
     if len(before) == 2:
-        out.append(f"{word(before[0])} {word(before[1])} _")
+        out.append(f"{before[0]} {before[1]} _")
     if before and after:
-        out.append(f"{word(before[-1])} _ {word(after[0])}")
-    if before and before[-1][-1] in CUES:
-        out.append(f"{word(before[-1])}: _")
+        out.append(f"{before[-1]} _ {after[0]}")
+    if before and words.text[min(runs[at[-1]][1], start) - 1] in CUES:
+        out.append(f"{before[-1]}: _")
     return out
 
 
@@ -136,7 +180,8 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[dict]]:
             k += 1
         if start < end and not (k < len(taken) and taken[k][0] < end) and (kind := near_form(text[start:end])):
             values.append((kind, start, end, False))
-    return base, [{"kind": kind, "start": a, "end": b, "value": text[a:b], "pattern": p, "seed": seed} for kind, a, b, seed in values for p in patterns(text, a, b, runs)]
+    words = Words(text, runs, sorted({a for _, a, _, _ in values}), sorted({b for _, _, b, _ in values}))
+    return base, [{"kind": kind, "start": a, "end": b, "value": text[a:b], "pattern": p, "seed": seed} for kind, a, b, seed in values for p in patterns(a, b, words)]
 
 
 def confident(edges: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, least: float = CONFIDENCE) -> DataFrame:

@@ -94,3 +94,30 @@ def test_no_pattern_from_few_seeds(spark):
 def test_empty(spark):
     none = pii.digest(pii.extract(spark.createDataFrame([], "doc_id long, text string, base string")))
     assert none.count() == 0 and none.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+
+
+def test_values_beside_long_words_have_patterns(spark):
+    rng = random.Random(3)
+    run = lambda: "".join(rng.choice("ABCDEFxyz0123") for _ in range(90))
+    same, other = "q" * 30 + "-7x" * 20, "z" * 50
+    rows = [(k, f"{run()} reach +1 (98{k}) 555-24{k}5 now") for k in range(8)] + [(20, f"{run()} reach 988-555-2499 now")]
+    rows += [(30 + k, f"{same.replace('7', str(k))},{k}@x.org;{other} tail") for k in range(8)] + [(50, f"{same} me@host {other}"), (51, f"{same}y me@host {other}"), (52, f"{same} me@host {other}y")]
+    found = {r.doc_id: set(r.spans) - set(r.base) for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = lambda k, value, kind: f"{kind}:{dict(rows)[k].index(value)}:{dict(rows)[k].index(value) + len(value)}"
+    assert {k: v for k, v in found.items() if v} == {20: {at(20, "988-555-2499", "phone")}, 50: {at(50, "me@host", "email")}}
+
+
+def test_keys_of_long_words_are_those_of_their_text():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("aB9,:1ΣςİÉ.0") for _ in range(rng.randint(1, 130)))
+        cuts = sorted(rng.sample(range(1, len(text) + 1), min(len(text), 5)))
+        assert list(pii._keys(text, cuts)) == [next(pii._keys(text[:c], [c])) for c in cuts]
+
+
+def test_many_values_in_a_long_run_take_no_quadratic_time():
+    start = time.process_time()
+    text = ",".join(f"u{k}@b.co" for k in range(60_000))
+    base, values = pii.scan(f"{'w' * 200_000} {text} {'v' * 200_000}")
+    assert len(base["email"]) == 60_000 and len({v["start"] for v in values}) == 60_000
+    assert time.process_time() - start < 30
