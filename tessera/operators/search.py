@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import STOP_WORDS, collapse, strip_accents, tokens_of
+from tessera.functions.text import STOP_WORDS, collapse, let, strip_accents, tokens_of
 from tessera.operators import lexicon
 from tessera.sources.scratch import stored
 
@@ -36,8 +36,34 @@ def postings(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STO
 
 
 def stored_index(docs: DataFrame, key: str, fields: list[str], stop: list[str] = STOP_WORDS) -> DataFrame:
-    """The postings written once, by field and term, for all the clauses that read them."""
-    return stored(postings(docs, key, fields, stop))
+    """The index written once, for all the clauses that read it: ``field, key, dl, parts, counts``, a row for each field of a document.
+
+    ``parts`` has the words in order (of each row, should several have one key), ``counts`` the different terms with their tf. What a clause needs of it
+    are rows of postings or of places, made where they are read: only texts go through a shuffle, not a row for each word.
+    """
+    rows = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyze(F.col(f), stop).alias("words")) for f in fields))).alias("f"))
+    lines = rows.select(key, "f.*").where(F.size("words") > 0).groupBy(key, "field").agg(F.collect_list(F.array_join("words", " ")).alias("lines"))
+    whole = lines.select(key, "field", F.transform("lines", lambda x: F.split(x, " ")).alias("parts"))
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k - 1) != F.get(s, k)))
+    runs = lambda s: let(first(s), lambda at: F.transform(at, lambda k, n: F.struct(F.get(s, k).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - k).cast("long").alias("tf"))))
+    return stored(whole.select("field", key, F.size(F.flatten("parts")).cast("long").alias("dl"), "parts", let(F.sort_array(F.flatten("parts")), runs).alias("counts")))
+
+
+def _counted(index: DataFrame, key: str) -> DataFrame:
+    """``field, key, dl, term, tf`` of postings or of a stored index."""
+    return index.select("field", key, "dl", F.inline("counts")) if "counts" in index.columns else index.select("field", key, "dl", "term", "tf")
+
+
+def _placed(index: DataFrame, key: str) -> DataFrame:
+    """``field, key, p, term``: a row for each word."""
+    if "parts" in index.columns:
+        return index.select("field", key, F.explode("parts").alias("words")).select("field", key, F.posexplode("words").alias("p", "term"))
+    return index.select("field", key, "term", F.explode("positions").alias("p"))
+
+
+def _vocabulary(index: DataFrame) -> DataFrame:
+    """The index's different terms."""
+    return (index.select(F.explode("counts.term").alias("term")) if "counts" in index.columns else index.select("term")).distinct()
 
 
 def lengths(index: DataFrame, key: str) -> DataFrame:
@@ -54,18 +80,27 @@ def query_terms(queries: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
     return queries.select("query_id", F.posexplode(analyze(F.col("query"), stop)).alias("at", "term"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, key: str, boosts: dict[str, float], stop: list[str] = STOP_WORDS, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, key, field, score``: idf = ln(1 + (n - df + 0.5) / (df + 0.5)), times the field's boost."""
+def bm25(queries: DataFrame, index: DataFrame, key: str, boosts: dict[str, float], stop: list[str] = STOP_WORDS, k1: float = K1, b: float = B, only: DataFrame | None = None) -> DataFrame:
+    """``query_id, key, field, score``: idf = ln(1 + (n - df + 0.5) / (df + 0.5)), times the field's boost.
+
+    ``only``: ``query_id, key, field`` to score. A stored index is dealt by document before its terms meet the queries, so that scores are summed in place.
+    """
     terms = query_terms(queries, stop).select("query_id", "term").distinct()
     mine = index.where(F.col("field").isin(*boosts))
     stats = lengths(mine, key).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row for each field
-    wanted = mine.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats), "field").select("field", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    wanted = lambda rows: _counted(rows, key).join(terms.select("term").distinct(), "term", "left_semi")
+    df = wanted(mine).groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = stored(df.join(F.broadcast(stats), "field").select("field", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
     boost = F.element_at(F.create_map(*(x for f, w in boosts.items() for x in (F.lit(f), F.lit(float(w))))), F.col("field"))
     one = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * boost
-    hits = wanted.select("field", "term", key, "tf", "dl").join(idf, ["field", "term"]).select("term", key, "field", one.alias("one"))
-    return hits.join(terms, "term").groupBy("query_id", key, "field").agg(F.sum("one").alias("score"))
+    if only is not None:
+        mine = mine.join(only.select("field", key).distinct(), ["field", key], "left_semi")
+    elif "counts" in mine.columns:
+        mine = mine.select("field", key, "dl", "counts").repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    hits = _counted(mine, key).join(idf, ["field", "term"]).select("term", key, "field", one.alias("one")).join(terms, "term")
+    if only is not None:
+        hits = hits.join(only, ["query_id", key, "field"], "left_semi")
+    return hits.groupBy("query_id", key, "field").agg(F.sum("one").alias("score"))
 
 
 def best_field(scores: DataFrame, key: str, boost: float = 1.0) -> DataFrame:
@@ -79,14 +114,25 @@ def top_k(scores: DataFrame, key: str, k: int, least: float = 0.0) -> DataFrame:
 
 
 def _phrases(terms: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int) -> DataFrame:
-    """terms: query_id, at, term; several terms at one place stand for each other."""
-    n = terms.groupBy("query_id").agg(F.count_distinct("at").alias("n"))
-    starts = index.where(F.col("field").isin(*fields)).join(terms, "term").select("query_id", key, "field", "at", F.explode("positions").alias("p"))
-    shifted = starts.select("query_id", key, "field", "at", (F.col("p") - F.col("at")).alias("base"))
-    if slop:
-        shifted = shifted.withColumn("base", F.explode(F.sequence(F.col("base") - slop, F.col("base"))))
-    whole = shifted.groupBy("query_id", key, "field", "base").agg(F.count_distinct("at").alias("met")).join(n, "query_id")
-    return whole.where("met = n").select("query_id", key, "field").distinct()
+    """terms: query_id, at, term; several terms at one place stand for each other.
+
+    A phrase is sought where the rarest of its places occurs; the other places are looked up there only.
+    """
+    mine = index.where(F.col("field").isin(*fields))
+    terms = stored(terms.select("query_id", "at", "term").distinct())
+    often = _counted(mine, key).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("tf").alias("often"))
+    places = terms.join(often, "term", "left").groupBy("query_id", "at").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("often"))
+    rarest = places.groupBy("query_id").agg(F.min_by("at", F.struct("often", "at")).alias("at"), F.count("*").alias("n"))
+    anchors = stored(terms.join(rarest, ["query_id", "at"]))
+    words = _placed(mine, key)
+    base = F.explode(F.sequence(F.col("p") - F.col("at") - slop, F.col("p") - F.col("at"))) if slop else F.col("p") - F.col("at")
+    begun = stored(words.join(anchors, "term").select("query_id", key, "field", "n", base.alias("base")).distinct())
+    # Only documents that have a beginning are read on.
+    p = F.explode(F.sequence(F.col("base") + F.col("at"), F.col("base") + F.col("at") + slop)) if slop else F.col("base") + F.col("at")
+    asked = stored(begun.join(terms, "query_id").select("query_id", key, "field", "n", "base", "at", "term", p.alias("p")))
+    held = _placed(mine.join(begun.select(key).distinct(), key, "left_semi"), key)
+    met = held.join(asked, [key, "field", "term", "p"]).groupBy("query_id", key, "field", "base", "n").agg(F.count_distinct("at").alias("met"))
+    return met.where("met = n").select("query_id", key, "field").distinct()
 
 
 def phrase_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str], slop: int = 0, stop: list[str] = STOP_WORDS) -> DataFrame:
@@ -96,8 +142,7 @@ def phrase_hits(queries: DataFrame, index: DataFrame, key: str, fields: list[str
 
 def phrase_clause(queries: DataFrame, index: DataFrame, key: str, boosts: dict[str, float], boost: float = 5.0, **options) -> DataFrame:
     """Best field's score of documents that hold the phrase."""
-    scores = bm25(queries, index, key, boosts, **options)
-    return best_field(scores.join(phrase_hits(queries, index, key, list(boosts), **options), ["query_id", key, "field"], "left_semi"), key, boost)
+    return best_field(bm25(queries, index, key, boosts, **options, only=stored(phrase_hits(queries, index, key, list(boosts), **options))), key, boost)
 
 
 def edits_allowed(c: Column) -> Column:
@@ -107,7 +152,7 @@ def edits_allowed(c: Column) -> Column:
 
 def fuzzy_terms(queries: DataFrame, index: DataFrame, prefix: int = 2, stop: list[str] = STOP_WORDS) -> DataFrame:
     """``query_id, term, variant, edits``: terms of the index that begin alike and are few edits away."""
-    words = index.select(F.col("term").alias("variant")).distinct().withColumn("_p", F.substring("variant", 1, prefix))
+    words = _vocabulary(index).withColumnRenamed("term", "variant").withColumn("_p", F.substring("variant", 1, prefix))
     terms = query_terms(queries, stop).select("query_id", "term").distinct().withColumn("_p", F.substring("term", 1, prefix))
     close = F.abs(F.length("variant") - F.length("term")) <= edits_allowed(F.col("term"))
     edits = F.levenshtein("term", "variant", 2)
@@ -125,7 +170,7 @@ def cross_fields_hits(queries: DataFrame, index: DataFrame, key: str, fields: li
     """``query_id, key``: every term is in some field."""
     terms = query_terms(queries, stop).select("query_id", "term").distinct()
     n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    met = index.where(F.col("field").isin(*fields)).join(terms, "term").groupBy("query_id", key).agg(F.count_distinct("term").alias("met"))
+    met = _counted(index.where(F.col("field").isin(*fields)), key).join(terms, "term").groupBy("query_id", key).agg(F.count_distinct("term").alias("met"))
     return met.join(n, "query_id").where("met = n").select("query_id", key)
 
 
@@ -148,7 +193,7 @@ def should(clauses: list[DataFrame], key: str) -> DataFrame:
 def prefix_terms(queries: DataFrame, index: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
     """``query_id, term``: all terms that begin as the query's last one."""
     last = queries.select("query_id", F.element_at(analyze(F.col("query"), stop), -1).alias("_l")).where("_l is not null")
-    words = index.select("term").distinct()
+    words = _vocabulary(index)
     begins = words.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.left("term", n))).alias("_l"))
     return begins.join(last, "_l").select("query_id", "term")
 
