@@ -80,8 +80,12 @@ def cross_fields_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_QUERIES}, {_TERMS}, {_INDEX}, {_BM25}, {_PHRASE}, sh as (select query_id, doc_id, sum(score) as score from (select query_id, doc_id, 5 * score as score from bm semi join ph using (query_id, doc_id) union all select query_id, doc_id, score from bm) group by 1, 2), {_TOP10.format('sh')}")
 def bool_should_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, index = _queries(spark, sf_dir), _index(spark, sf_dir)
-    clauses = [Q.phrase_clause(queries, index, "doc_id", {"text": 1.0}, 5.0), Q.best_field(Q.bm25(queries, index, "doc_id", {"text": 1.0}), "doc_id")]
-    return _ranked(Q.should(clauses, "doc_id"), 10)
+    phrases = stored(Q.phrase_clause(queries, index, "doc_id", {"text": 1.0}, 5.0))
+    words = Q.best_field(Q.bm25(queries, index, "doc_id", {"text": 1.0}), "doc_id")
+    # What holds no phrase scores by words alone, so only the ten best of it can be among the ten best of all.
+    rest = Q.top_k(words.join(phrases, ["query_id", "doc_id"], "left_anti").withColumn("score", F.round("score", 6)), "doc_id", 10)
+    held = Q.should([phrases, phrases.withColumn("score", F.col("score") / 5.0)], "doc_id")
+    return _ranked(held.unionByName(rest.select("query_id", "doc_id", "score")), 10)
 
 
 @query("select doc_id, lang from documents where (contains(lower(text), 'the') or contains(lower(lang), 'the')) and (contains(lower(text), 'or') or contains(lower(lang), 'or')) order by doc_id limit 50")
