@@ -79,3 +79,30 @@ def test_corpus_tfidf_of_equal_texts(spark):
     pairs = spark.createDataFrame([(1, "rua augusta", "rua augusta"), (2, "", ""), (3, "rua", "")], "k int, a string, b string")
     found = {r.k: r.tfidf for r in tfidf.pair_cosine(pairs, "k", "a", "b", most=1.0).collect()}
     assert found == pytest.approx({1: 1.0, 2: 1.0, 3: 0.0})
+
+
+def test_token_set_ratio_aligns_once_and_ratios_are_those_of_the_whole_texts(monkeypatch):
+    import random
+
+    from tessera.functions import codes
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above = 0
+            for k, y in enumerate(b, 1):
+                above, row[k] = row[k], above + 1 if x == y else max(row[k], row[k - 1])
+        return round(200 * row[-1] / (len(a) + len(b))) if a or b else 100
+
+    rng, met = random.Random(8), []
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    assert all(codes.ratio(a, b) == plain(a, b) for a in texts for b in texts)
+    monkeypatch.setattr(codes, "ratio", lambda a, b: met.append(1) or plain(a, b))
+    for a in texts:
+        for b in texts:
+            x, y = set(a.split()), set(b.split())
+            both = " ".join(sorted(x & y))
+            left, right = (f"{both} {' '.join(sorted(s))}".strip() for s in (x - y, y - x))
+            want = 100 if both and (not x - y or not y - x) else max(plain(left, right), plain(both, left) if both else 0, plain(both, right) if both else 0)
+            met.clear()
+            assert codes.token_set_ratio(a, b) == want and len(met) <= 1
