@@ -23,8 +23,10 @@ HEADS = 4
 BUCKETS, BUCKET_BYTES, FULL, PACK_BYTES = 1024, 8 << 20, 1 << 20, 8 << 20
 #: Edges that one task makes components of; more go in rounds.
 ONE_TASK = 300_000
-#: Nodes of one key up to which all their pairs are filtered.
+#: Nodes of one key up to which all their pairs are filtered at once.
 PAIRED = 64
+#: Sketched nodes of one key that are linked as a chain where a bucket is settled in part.
+CHAINED = 1 << 14
 #: Pairs that are filtered at once.
 PAIRS = 1 << 16
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
@@ -108,6 +110,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
+#: With 64 parities of the set's members, dealt by their hashes.
+SKETCHED = np.dtype([*ENTRY.descr, ("sketch", "<u8")])
 
 
 def buckets_for(entries: int, size: int = ENTRY.itemsize) -> int:
@@ -116,13 +120,13 @@ def buckets_for(entries: int, size: int = ENTRY.itemsize) -> int:
 
 
 class Packer:
-    """Entries (key, node) and, with ``sized``, (n, at) as rows (bucket, block): a block holds a task's entries of one range of keys.
+    """Entries (key, node) and, with ``sized``, (n, at), with ``sketched`` (n, at, sketch) as rows (bucket, block): a block holds a task's entries of one range of keys.
 
     A row for each entry would cost more than all else that is done with it.
     """
 
-    def __init__(self, buckets: int, sized: bool = False):
-        self.buckets, self.kind = np.uint64(buckets), ENTRY if sized else np.dtype(ENTRY.descr[:2])
+    def __init__(self, buckets: int, sized: bool = False, sketched: bool = False):
+        self.buckets, self.kind = np.uint64(buckets), SKETCHED if sketched else ENTRY if sized else np.dtype(ENTRY.descr[:2])
         self.parts: list[np.ndarray] = []
         self.held = 0
 
@@ -153,16 +157,44 @@ def _bucket(key: np.ndarray, buckets: np.uint64) -> np.ndarray:
     return ((key >> np.uint64(32)) * buckets >> np.uint64(32)).astype(np.int64)
 
 
-def small_groups(node: np.ndarray, n: np.ndarray, at: np.ndarray, first: np.ndarray, size: int, num: int, den: int) -> Iterator[np.ndarray]:
-    """Edges of the groups of one size that start at ``first``: pairs that the filters by length and by place let pass."""
+def may_link(x: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs of sized entries x[a], x[b] of one key the filters by length, by place and, where there are sketches, by sketch let pass.
+
+    Two sets differ in at least as many members as their sketches in parities.
+    """
+    n, m = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
+    need = -(-num * (n + m) // (num + den))
+    kept = (np.minimum(n - x["at"][a], m - x["at"][b]) >= need) & (np.minimum(n, m) * den >= num * np.maximum(n, m))
+    if "sketch" in x.dtype.names:
+        kept &= n + m - np.bitwise_count(x["sketch"][a] ^ x["sketch"][b]) >= 2 * need
+    return kept
+
+
+def small_groups(x: np.ndarray, first: np.ndarray, size: int, num: int, den: int) -> Iterator[np.ndarray]:
+    """Edges of the groups of one size that start at ``first``: pairs that may_link() lets pass."""
     i, j = np.triu_indices(size, 1)
     step = max(1, PAIRS // len(i))
     for k in range(0, len(first), step):
         start = first[k : k + step, None]
         a, b = (start + i).reshape(-1), (start + j).reshape(-1)
-        most, total = np.minimum(n[a] - at[a], n[b] - at[b]), n[a] + n[b]
-        kept = (node[a] != node[b]) & (most >= -(-num * total // (num + den))) & (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b]))
-        yield np.column_stack([node[a[kept]], node[b[kept]]])
+        kept = np.flatnonzero(may_link(x, a, b, num, den))
+        yield _different(np.column_stack([x["node"][a[kept]], x["node"][b[kept]]]))
+
+
+def large_group(x: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """Edges that connect what all pairs that may_link() lets pass would, of one group, sorted by size: what is reached is not asked for again."""
+    n, fresh = x["n"].astype(np.int64), np.ones(len(x), bool)
+    least, most = np.searchsorted(n, -(-num * n // den)), np.searchsorted(n, den * n // num, side="right")
+    for seed in range(len(x)):
+        queue = [seed] if fresh[seed] else []
+        fresh[seed] = False
+        while queue:
+            a = queue.pop()
+            others = least[a] + np.flatnonzero(fresh[least[a] : most[a]])
+            if len(others) and len(others := others[may_link(x, a, others, num, den)]):
+                fresh[others] = False
+                queue += others.tolist()
+                yield np.column_stack([np.full(len(others), x["node"][a]), x["node"][others]])
 
 
 def _different(edges: np.ndarray) -> np.ndarray:
@@ -171,18 +203,19 @@ def _different(edges: np.ndarray) -> np.ndarray:
     return edges[np.r_[True, (edges[1:] != edges[:-1]).any(axis=1)]] if len(edges) else edges
 
 
-def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
+def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1, sketched: bool = False) -> DataFrame:
     """Candidate edges (u, v) from a Packer's rows (bucket, block): nodes that share a key, as forests.
 
     With num / den over 0 entries are sized: n is a node's set size and ``at`` the key's place in the set's order. Pairs of nodes that
     share a key are then filtered by length and place; where a key has over PAIRED nodes, neighbours by size whose lengths
-    agree are linked instead, which connects at least what all their pairs would.
+    agree are linked instead, which connects at least what all their pairs would. With ``sketched`` all pairs are filtered, by sketch too,
+    and only keys with over CHAINED nodes are linked by neighbours, in buckets that are settled in part.
     """
     sized = bool(num)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        kind = ENTRY if sized else np.dtype(ENTRY.descr[:2])
+        kind = SKETCHED if sketched else ENTRY if sized else np.dtype(ENTRY.descr[:2])
         held: list[np.ndarray] = []
         size, now, large = 0, None, np.zeros(0, np.uint64)
 
@@ -199,7 +232,9 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             new = np.r_[True, key[1:] != key[:-1]]
             first = np.flatnonzero(new)
             many = np.diff(np.r_[first, len(x)])
-            chained = (many > PAIRED) | np.isin(key[first], large) if sized else many > 1
+            chained = many > 1
+            if sized:
+                chained = np.isin(key[first], large) | (many > (CHAINED if sketched else PAIRED)) & (not (sketched and last))
             inside = np.repeat(chained, many)
             linked = np.flatnonzero(inside[1:] & ~new[1:] & (node[1:] != node[:-1]))
             if sized:
@@ -208,10 +243,11 @@ def bucket_edges(rows: DataFrame, num: int = 0, den: int = 1) -> DataFrame:
             join(np.column_stack([node[linked], node[linked + 1]]))
             if last:
                 if sized:
-                    at = x["at"].astype(np.int64)
                     found = [np.zeros((0, 2), np.int64)]
-                    for k in np.flatnonzero(np.bincount(many[~chained])[2:]) + 2 if not chained.all() else ():
-                        found += small_groups(node, n, at, first[~chained & (many == k)], int(k), num, den)
+                    for k in np.flatnonzero(np.bincount(many[~chained & (many <= PAIRED)], minlength=3)[2:]) + 2:
+                        found += small_groups(x, first[~chained & (many == k)], int(k), num, den)
+                    for k in np.flatnonzero(~chained & (many > PAIRED)):
+                        found += large_group(x[first[k] : first[k] + many[k]], num, den)
                     join(np.concatenate(found))
                 held, size, large = [], 0, np.zeros(0, np.uint64)
             else:

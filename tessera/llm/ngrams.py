@@ -1,5 +1,9 @@
 """Set similarity join on word n-grams: rare-first prefixes, filters by length, position and suffix, exact verification.
 
+Large sets are cut into parts by their members' hashes: where two sets have num / den of their union in common, they have so in one
+of the parts at least. Prefixes and filters go by the parts, which are small enough for a sketch of 64 bits to tell sets apart
+that share a member by chance. Without it such candidates grow with the square of the documents, and run together into one component.
+
 The order of n-grams is by how often hash cells of all documents' n-grams were met, which is a
 table of fixed size; any order that all documents share gives right results, and one that puts rare
 n-grams first gives few candidates.
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow, chunks, join_small, stored, strings
-from tessera.llm.components import Packer, bucket_edges, buckets_for, by_sets, connected, links
+from tessera.llm.components import SKETCHED, Packer, bucket_edges, buckets_for, by_sets, connected, links
 from tessera.llm.hashing import between, distinct, lowered, mix, prefix
 
 #: Cells that n-grams are counted in, sent and summed in slices.
@@ -26,6 +30,8 @@ CHUNK = 1 << 17
 MET = 200_000
 #: N-grams that a range of a set's profile is meant for.
 PER_RANGE = 32
+#: N-grams that a part of a set is meant for at most, and times that a set is halved for it at most.
+PART, HALVINGS = 128, 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ODD = np.random.RandomState(99).randint(0, 1 << 62, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,36 +175,57 @@ def _cells(rows: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def halvings(size: np.ndarray) -> np.ndarray:
+    """How often sets of so many members are halved until a part is meant for PART at most."""
+    return np.searchsorted(PART << np.arange(HALVINGS), size)
+
+
+def parts_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Of sorted sets, in all halvings that a set of similarity num / den can have: member, number of its part, and of each part set and halvings."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    low = halvings(size)
+    times = halvings(size * den // num) - low + 1
+    of = np.repeat(np.arange(len(sets)), times)
+    level = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    each = size[of]
+    start = np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(each) - each), each)
+    member = np.concatenate(sets)[start + np.arange(len(start))]
+    one = np.repeat(np.arange(len(of)), each)
+    range_ = member >> np.uint64(1) >> (63 - level[one]).astype(np.uint64)
+    new = np.r_[True, (one[1:] != one[:-1]) | (range_[1:] != range_[:-1])]
+    return member, np.cumsum(new) - 1, of[one[new]], level[one[new]]
+
+
 def prefixes(docs: DataFrame, n: int, num: int, den: int, cells: np.ndarray, buckets: int) -> DataFrame:
-    """Packed entries (key, node, n, at): the n-grams of each document's prefix, rarest cells first; a node is a set, by the first half of its name.
+    """Packed entries (key, node, n, at, sketch): the n-grams of the prefix of each part of a document, rarest cells first; a node is a set, by the first half of its name.
 
-    Two sets of similarity num / den share one of the first size - ceil(size * num / den) + 1 n-grams of either.
+    Two parts of similarity num / den share one of the first size - ceil(size * num / den) + 1 n-grams of either. Sets so small that
+    none but their equals are similar to them have no entries.
     """
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, packer = shared.value, Packer(buckets, sized=True)
+        cells, packer = shared.value, Packer(buckets, sketched=True)
         met_before: set[bytes] = set()  # a task sends a set once
         for batch in batches:
             for _, sets in _by_chunk(batch.column(0), n):
-                fresh = {x: s for x, s in zip(map(name_of, sets), sets, strict=True) if len(s) and x not in met_before}
+                fresh = {x: s for x, s in zip(map(name_of, sets), sets, strict=True) if len(s) * den >= num * (len(s) + 1) and x not in met_before}
                 if len(met_before) < MET:
                     met_before.update(fresh)
                 if not fresh:
                     continue
-                sets = list(fresh.values())
                 nodes = np.frombuffer(b"".join(x[:8] for x in fresh), ">i8")
-                size = np.fromiter(map(len, sets), np.int64, len(sets))
-                every = np.concatenate(sets)
-                of = np.repeat(np.arange(len(sets)), size)
+                every, part, of, level = parts_of(list(fresh.values()), num, den)
+                size = np.bincount(part)
+                start = np.cumsum(size) - size
+                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (every & np.uint64(63)), start)
                 met = cells[every >> np.uint64(44)]
-                order = np.lexsort((met, of))  # stable, and sets are sorted
-                at = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.lexsort((met, part))  # stable, and sets are sorted
+                at = np.arange(len(every)) - start[part]
                 most = size + num * size // -den + 1
-                kept = order[(at < most[of]) & (met[order] > 1)]  # met once: in no other document
-                place = np.empty(len(every), np.int64)
-                place[order] = at
-                yield from packer.add(every[kept], nodes[of[kept]], size[of[kept]], place[kept])
+                kept = (at < most[part]) & (met[order] > 1)  # met once: in no other document
+                at, every, part = at[kept], every[order[kept]], part[kept]
+                yield from packer.add(mix(every + level[part].astype(np.uint64) * _ODD[-1]), nodes[of[part]], size[part], at, sketch[part])
         yield from packer.flush()
 
     return arrow(docs, rows, "bucket int, block binary")
@@ -218,9 +245,9 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     known = sized.where("name is not null and doc_id is not null")
     classes = stored(known.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("rows")))
     cells = _cells(seen.where("slice is not null").select("slice", "counts"))
-    entries = classes.agg(F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1"))).first()[0] or 0
+    entries = classes.agg(F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1 + 2 * n / {PART}"))).first()[0] or 0
     own = plain.where("doc_id is not null").select("text")
-    candidates = stored(connected(bucket_edges(prefixes(own, n, num, den, cells, buckets_for(int(entries))), num, den)))
+    candidates = stored(connected(bucket_edges(prefixes(own, n, num, den, cells, buckets_for(int(entries), SKETCHED.itemsize)), num, den, sketched=True)))
     # From here on a set goes by its whole name. Profiles, a small part of the texts, part most of what prefixes brought together.
     half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("half")
     near = stored(join_small(classes.select("name", "first", "n", half), candidates.withColumnRenamed("node", "half"), "half").select(F.col("name").alias("node"), "first", F.col("component").alias("comp"), (F.col("n") * 8).alias("weight")))

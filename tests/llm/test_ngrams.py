@@ -228,3 +228,46 @@ def test_words_whose_sums_collide_modulo_a_power_of_two(spark):
     rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in N.near_duplicates(frame).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_candidates_do_not_run_together_by_chance(spark, monkeypatch):
+    """Texts that share frequent n-grams and are not alike are candidates neither in pairs nor in one large component."""
+    rng = random.Random(12)
+    text = lambda words, size: " ".join(f"w{rng.randrange(words)}" for _ in range(size))
+    rows = [(k, text(6, rng.randint(30, 50))) for k in range(300)] + [(300 + k, text(12, rng.randint(1300, 1700))) for k in range(100)]
+    for k in range(0, 400, 40):  # one near copy of ten of them
+        words = rows[k][1].split()
+        words[-1] = "changed"
+        rows.append((400 + k, " ".join(words)))
+    sizes = []
+    links = N.links
+
+    def counted(nodes, members, compare):
+        sizes.append(nodes.count())
+        return links(nodes, members, compare)
+
+    monkeypatch.setattr(N, "links", counted)
+    found = sorted((tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert found == brute(rows, 3, 90, 100)
+    assert sum(r[0] != r[2] for r in found) == 10 and 20 <= sizes[0] <= 40
+
+
+def test_similar_sets_have_a_similar_part():
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    tried = 0
+    for _ in range(400):
+        a = np.unique(rng.randint(0, 1 << 62, rng.choice([5, 60, 120, 128, 129, 135, 250, 256, 270, 1000, 3000])).astype(np.uint64) * np.uint64(4))
+        keep = np.ones(len(a), bool)
+        keep[rng.permutation(len(a))[: rng.randint(0, len(a) // 10 + 1)]] = False
+        b = np.union1d(a[keep], rng.randint(0, 1 << 62, rng.randint(0, len(a) // 10 + 1)).astype(np.uint64) * np.uint64(4))
+        if 100 * len(np.intersect1d(a, b)) < 90 * len(np.union1d(a, b)):
+            continue
+        tried += 1
+        member, part, of, level = N.parts_of([a, b], 90, 100)
+        by = {}
+        for m, p in zip(member.tolist(), part.tolist()):
+            by.setdefault((int(level[p]), m >> 64 - int(level[p])), ({*()}, {*()}))[of[p]].add(m)
+        assert any(x | y and 100 * len(x & y) >= 90 * len(x | y) for x, y in by.values())
+    assert tried > 100
