@@ -20,22 +20,32 @@ def batch_nearest(queries: DataFrame, points: DataFrame, k: int, key: str, query
 
     Points are sought in the query's grid cell and the eight around it. Where what lies outside may be nearer than the k-th found, or fewer
     are found, the query goes on with cells twice as wide, in the end with all points. ``degrees``: width of the first cells.
+    Queries of one place are answered once, and of points of one place the k smallest keys take part.
     """
-    points = points.where("lon is not null and lat is not null")
-    left = queries.select(F.col(query), F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).where("qlon is not null and qlat is not null")
+    first = Window.partitionBy("lon", "lat").orderBy(key)
+    few = points.where("lon is not null and lat is not null").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    points = stored(few.groupBy("lon", "lat").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key")))).alias("_keys")))
+    sites = queries.select(F.col(query), F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).where("qlon is not null and qlat is not null")
+    places = stored(sites.select("qlon", "qlat").distinct().withColumn("_place", F.monotonically_increasing_id()))
+    near = _nearest_of_places(places, points, k, degrees)
+    return sites.join(places, ["qlon", "qlat"]).join(near, "_place").select(query, F.col("key").alias(key), "metres", "rank")
+
+
+def _nearest_of_places(left: DataFrame, points: DataFrame, k: int, degrees: float) -> DataFrame:
+    """``_place, key, metres, rank`` for places (_place, qlon, qlat) among points (lon, lat, _keys)."""
     done = None
     while True:
         whole = degrees >= 360
-        found = _ranked(left if whole else _windows(left, degrees), points if whole else points.withColumn("_x", F.floor(F.col("lon") / degrees)).withColumn("_y", F.floor(F.col("lat") / degrees)), k, key, query, whole)
+        found = _ranked(left if whole else _windows(left, degrees), points if whole else points.withColumn("_x", F.floor(F.col("lon") / degrees)).withColumn("_y", F.floor(F.col("lat") / degrees)), k, whole)
         if whole:
             return found if done is None else done.unionByName(found)
         found = stored(found)
         # A metre less for rounding: of points at one distance the smaller key wins, wherever it is.
-        full = found.groupBy(query).agg(F.count("*").alias("_n"), F.max("metres").alias("_far"))
-        sure = stored(left.join(full, query).where((F.col("_n") >= k) & (F.col("_far") < _reach(F.col("qlon"), F.col("qlat"), degrees) - 1.0)).select(query))
-        found = found.join(sure, query, "left_semi")
+        full = found.groupBy("_place").agg(F.count("*").alias("_n"), F.max("metres").alias("_far"))
+        sure = stored(left.join(full, "_place").where((F.col("_n") >= k) & (F.col("_far") < _reach(F.col("qlon"), F.col("qlat"), degrees) - 1.0)).select("_place"))
+        found = found.join(sure, "_place", "left_semi")
         done = found if done is None else done.unionByName(found)
-        left = stored(left.join(sure, query, "left_anti"))
+        left = stored(left.join(sure, "_place", "left_anti"))
         if left.isEmpty():
             return done
         degrees *= 2
@@ -46,11 +56,13 @@ def _windows(queries: DataFrame, degrees: float) -> DataFrame:
     return queries.select("*", F.explode(F.sequence(x - 1, x + 1)).alias("_x"), F.sequence(y - 1, y + 1).alias("_ys")).select("*", F.explode("_ys").alias("_y")).drop("_ys")
 
 
-def _ranked(near: DataFrame, points: DataFrame, k: int, key: str, query: str, whole: bool) -> DataFrame:
+def _ranked(near: DataFrame, points: DataFrame, k: int, whole: bool) -> DataFrame:
     each = near.crossJoin(points) if whole else near.join(points, ["_x", "_y"])
-    metres = each.withColumn("metres", F.round(haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")), 6))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy("metres", key))
-    return metres.withColumn("rank", rank).where(F.col("rank") <= k).select(query, key, "metres", "rank")
+    metres = each.select("_place", F.round(haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")), 6).alias("metres"), "_keys")
+    # Each of the k nearest is at one of the k places that are first by metres and their smallest key.
+    rank = lambda key: F.row_number().over(Window.partitionBy("_place").orderBy("metres", key))
+    at = metres.withColumn("_r", rank(F.get("_keys", 0))).where(F.col("_r") <= k).select("_place", "metres", F.explode("_keys").alias("_key"))
+    return at.select("_place", F.col("_key.key").alias("key"), "metres").withColumn("rank", rank(F.col("key"))).where(F.col("rank") <= k)
 
 
 def _reach(lon: Column, lat: Column, degrees: float) -> Column:

@@ -37,3 +37,21 @@ def test_batch_nearest_ranks_points_as_far_away_by_key(spark):
             found.setdefault(r.site, {})[r["rank"]] = r.id
         want = {s: [p[0] for p in sorted(points, key=lambda p: (round(metres((x, y), p[1:]), 4), p[0]))[:4]] for s, x, y in sites}
         assert {s: [v[r] for r in sorted(v)] for s, v in found.items()} == want
+
+
+def test_batch_nearest_ranks_few_rows_of_copies(spark, monkeypatch):
+    """Copies of places and of sites: each different place of a site meets each different place of a point once."""
+    points = [(k, -9.0 + k % 7 / 100, 38.0 + k % 5 / 100) for k in range(1400)]
+    sites = [(k, -9.0 + k % 3 / 100, 38.0 + k % 2 / 50) for k in range(600)]
+    ranked, rows = spatial._ranked, []
+
+    def counted(near, points, *rest):
+        rows.append((near.count(), points.count()))
+        return ranked(near, points, *rest)
+
+    monkeypatch.setattr(spatial, "_ranked", counted)
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, lon double, lat double")
+    found = {(r.site, r["rank"]): r.id for r in spatial.batch_nearest(frame(sites, "site"), frame(points, "id"), 3, "id", "site", 0.5).collect()}
+    want = {(s, n + 1): p[0] for s, x, y in sites for n, p in enumerate(sorted(points, key=lambda p: (round(metres((x, y), p[1:]), 6), p[0]))[:3])}
+    assert found == want
+    assert rows[0] == (6 * 9, 35)
